@@ -60,11 +60,15 @@ def truncate_words(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(cut, r" [^ ]*$", ""), F.lit("...")))
 
 
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def numbered_paragraphs(text: Column) -> Column:
     """(number, text) of paragraphs that begin a line with a superscript or plain number; else the whole text as 1."""
     parts = F.split(F.regexp_replace(text, r"(?m)^\s*([¹²³⁴⁵⁶⁷⁸⁹⁰]+|\d+)\s+", "\u0001$1\u0002"), "\u0001")
     marked = F.filter(parts, lambda p: F.instr(p, "\u0002") > 0)
     number = lambda p: F.translate(F.split_part(p, F.lit("\u0002"), F.lit(1)), "¹²³⁴⁵⁶⁷⁸⁹⁰", "1234567890")
-    rows = F.transform(marked, lambda p: F.struct(number(p).alias("number"), F.trim(F.split_part(p, F.lit("\u0002"), F.lit(2))).alias("text")))
-    whole = F.array(F.struct(F.lit("1").alias("number"), F.trim(text).alias("text")))
+    rows = F.transform(marked, lambda p: F.struct(number(p).alias("number"), _strip(F.split_part(p, F.lit("\u0002"), F.lit(2))).alias("text")))
+    whole = F.array(F.struct(F.lit("1").alias("number"), _strip(text).alias("text")))
     return F.when(F.size(marked) > 0, rows).otherwise(whole)

@@ -25,9 +25,10 @@ SHRINK = 0.75
 
 def _contract(batches: Iterator[pd.DataFrame], paths: bool) -> Iterator[pd.DataFrame]:
     """Follow parents inside the partition: node → (top, hops) of the last node reached and its exit."""
-    pdf = pd.concat(list(batches), ignore_index=True)
-    if pdf.empty:
+    parts = list(batches)
+    if not any(map(len, parts)):
         return
+    pdf = pd.concat(parts, ignore_index=True)
     n = len(pdf)
     parent = pdf["exit"].to_numpy(object)
     at = pd.Index(pdf["node"]).get_indexer(pd.Index(pdf["exit"]))
