@@ -2,7 +2,7 @@
 
 Each text becomes a point: the mean of hashed projections of its tokens. Texts are range-sorted by
 the Hilbert key of their points and packed with their neighbours on the curve, a bounded stretch at
-a time, best fit first. What stays underfilled at the ends of the ranges is packed once more.
+a time, best fit first. What stays underfilled is packed once more, in hashed order.
 """
 
 from __future__ import annotations
@@ -166,6 +166,7 @@ def pack_texts(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = C
 
     first = materialize(along_curve(pieces, 1))
     loose = F.col("filled") < FULL * capacity
-    again = along_curve(first.where(loose), 2)
+    # what didn't fit its neighbours on the curve meets others in hashed order: there sizes mix
+    again = along_curve(first.where(loose).withColumn("curve", F.xxhash64("doc_id", "piece")), 2)
     result = first.where(~loose).unionByName(again)
     return result.select("container_id", "doc_id", "piece", "token_start", "n_tokens")
