@@ -52,6 +52,7 @@ def traverse(seeds: DataFrame, edges: DataFrame, depth: int, types: Sequence[str
     """
     used = edges if types is None else edges.where(F.col("type").isin(*types))
     ways = used.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(used.select(F.col("dst"), F.col("src"))).where("a is not null and b is not null").distinct()
+    ways = materialize(ways)
     reached = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("length")).distinct()
     frontier = reached
     for step in range(1, depth + 1):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import occurrences
+from lexloom.session import materialize
 
 K1, B = 1.2, 0.75
 # Weights of edge types (lower is nearer) and of laws by number.
@@ -27,10 +28,11 @@ def cosine(a: Column, b: Column) -> Column:
 def bm25(docs: DataFrame, doc: str, text: str, words: Sequence[str]) -> DataFrame:
     """(doc, bm25) of the documents with any of the words, by substrings of the lower-case text.
 
-    Length counts in characters. One pass takes counts, lengths and document frequencies; the
-    statistics are one row, joined back by broadcast of that row.
+    Length counts in characters. The texts are read once: counts and lengths are kept as numbers,
+    and the statistics over them are one row, joined back by broadcast of that row.
     """
     low = docs.where(F.col(text).isNotNull()).select(doc, F.lower(text).alias("_t")).select(doc, F.length("_t").alias("_len"), *[occurrences(F.col("_t"), F.lit(w)).alias(f"_tf{i}") for i, w in enumerate(words)])
+    low = materialize(low)
     stats = low.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(words))])
     both = low.where(" or ".join(f"_tf{i} > 0" for i in range(len(words)))).join(F.broadcast(stats))
     score = F.lit(0.0)
