@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from lexloom.plans import catalogue, problems
+from lexloom.plans import catalogue, problems, reasoning
 
 SF = "/root/testdata/sf0.001"
-ALL = {**problems.QUERIES, **catalogue.QUERIES}
-SQL = {**problems.ORACLES, **catalogue.ORACLES}
+ALL = {**problems.QUERIES, **catalogue.QUERIES, **reasoning.QUERIES}
+SQL = {**problems.ORACLES, **catalogue.ORACLES, **reasoning.ORACLES}
 
 
 @pytest.fixture(scope="module")
