@@ -115,6 +115,7 @@ def failed_references(refs: DataFrame, parents: DataFrame, at: str) -> DataFrame
     a null key or time are no cases; repeated rows stay repeated. No parents: all are missing.
     """
     refs = refs.where(F.col("key").isNotNull() & F.col(at).isNotNull()).withColumn("period", month_number(F.col(at)))
+    parents = materialize(parents)  # read for the dictionary, the bitmaps and the exact times
     suspects = suspect_keys(refs.select("key", "period").distinct(), parents)
     known = suspects.join(parents.select("key", "first_seen", "deleted_at", F.lit(True).alias("known")), "key", "left")
     reason = F.when(F.col("known").isNull(), "missing").when(F.col("deleted_at") <= F.col(at), "deleted").when(F.col("first_seen") > F.col(at), "late")
