@@ -60,20 +60,23 @@ def valid_at(versions: DataFrame, at: Column) -> DataFrame:
     return hit.groupBy("law_uri").agg(F.max(F.struct("start", "uri")).alias("v")).select("law_uri", F.col("v.uri").alias("uri"), F.col("v.start").alias("start"))
 
 
-def as_of_join(events: DataFrame, versions: DataFrame, at: str) -> DataFrame:
+def as_of_join(events: DataFrame, versions: DataFrame, at: str, horizon: int = 2100) -> DataFrame:
     """Each event (law_uri, ``at``, …) with the version valid then: the last start not after it, if not ended.
 
-    One sort per law of the union of both sides, then the last version carried forward: no pair of
-    event and version is formed except the one that counts.
+    A version answers for the time up to the next start of its law, year by year (the last one up
+    to the year ``horizon``): an equi-join on law and year, of which an event matches one row at
+    most. Events of a hot law spread over years and may be split further as skew; only a law's
+    versions, not its events, are ordered. Events with a null law or time keep a null version.
     """
     names = [c for c in events.columns if c not in ("law_uri", at)]
-    ev = events.select("law_uri", F.col(at).alias("_t"), F.lit(1).alias("_k"), F.struct(*[F.col(c) for c in names], F.lit(1).alias("_x")).alias("_e"))
-    ver = versions.where("start is not null").select("law_uri", F.col("start").alias("_t"), F.lit(0).alias("_k"), F.struct(F.col("uri"), F.col("end")).alias("_v"))
-    both = ev.unionByName(ver, allowMissingColumns=True)
-    w = Window.partitionBy("law_uri").orderBy("_t", "_k", F.col("_v.uri")).rowsBetween(Window.unboundedPreceding, 0)
-    joined = both.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_k = 1")
-    alive = F.col("_last.end").isNull() | (F.col("_last.end") > F.col("_t"))
-    return joined.select("law_uri", F.col("_t").alias(at), *[F.col(f"_e.{c}").alias(c) for c in names], F.when(alive, F.col("_last.uri")).alias("version_uri"))
+    until = F.lead("start").over(by_law())
+    spans = versions.where("start is not null and law_uri is not null").select("law_uri", "uri", "start", "end", until.alias("until")).where("until is null or until > start")
+    years = F.sequence(F.year("start"), F.greatest(F.year("start"), F.coalesce(F.year("until"), F.lit(horizon))))
+    v = spans.select(F.col("law_uri").alias("_law"), F.explode(years).alias("_year"), F.col("uri").alias("_uri"), F.col("start").alias("_start"), F.col("until").alias("_until"), F.col("end").alias("_end"))
+    t = F.col(at)
+    match = (F.col("law_uri") == F.col("_law")) & (F.year(at) == F.col("_year")) & (F.col("_start") <= t) & (F.col("_until").isNull() | (F.col("_until") > t))
+    joined = events.join(v, match, "left")
+    return joined.select("law_uri", at, *names, F.when(F.col("_end").isNull() | (F.col("_end") > t), F.col("_uri")).alias("version_uri"))
 
 
 def changes_between(versions: DataFrame, start: Column, end: Column) -> DataFrame:

@@ -670,15 +670,16 @@ def document_languages(s, d):
     return docs.groupBy("lang", detect_language(F.col("text")).alias("detected")).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-# ---- question analysis, on the reference contexts and test items as texts ----
+# ---- question analysis, on the texts around references ----
 
 @query()
 def question_analysis(s, d):
-    t = F.col("text")
-    a = table(s, d, "eval_items").where("text is not null").select("item_id", Q.intent(t).alias("i"), Q.entities(t).alias("e"), Q.ambiguity(t).alias("ambiguity"), Q.missing_context(t).alias("missing_context"), t)
+    """What the texts around references ask for: intent, entities, complexity, ambiguity and strategy."""
+    t = F.col("context_text")
+    a = references(s, d).where("context_text is not null").select("ref_id", Q.intent(t).alias("i"), Q.entities(t).alias("e"), Q.ambiguity(t).alias("ambiguity"), Q.missing_context(t).alias("missing_context"), t)
     n = F.size("e.articles") + F.size("e.sections") + F.size("e.dates")
     level = Q.complexity(t, n)
-    a = a.select("item_id", "i.intent", F.round("i.confidence", 4).alias("confidence"), n.alias("n_entities"), level.alias("complexity"), F.round("ambiguity", 4).alias("ambiguity"), F.array_join("missing_context", ",").alias("missing_context"), (F.size("e.articles") > 0).alias("has_article"))
+    a = a.select("ref_id", "i.intent", F.round("i.confidence", 4).alias("confidence"), n.alias("n_entities"), level.alias("complexity"), F.round("ambiguity", 4).alias("ambiguity"), F.array_join("missing_context", ",").alias("missing_context"), (F.size("e.articles") > 0).alias("has_article"))
     return a.withColumn("strategy", Q.strategy(F.col("intent"), F.col("has_article"), F.col("ambiguity"), F.col("complexity")))
 
 

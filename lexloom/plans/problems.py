@@ -147,21 +147,21 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- 5: nested records -------------------------------------------------------------------------
 
 
-def fedlex_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def record_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = latest_delivery(table(spark, sf_dir, "fedlex_json"), ["record_id"], "loaded_at", ["payload"])
     return shred(last, "record_id", "payload")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subject_values(fedlex_nodes(spark, sf_dir))
+    return subject_values(record_nodes(spark, sf_dir))
 
 
 def p5_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return object_table(fedlex_nodes(spark, sf_dir))
+    return object_table(record_nodes(spark, sf_dir))
 
 
 def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema_tables(fedlex_nodes(spark, sf_dir))
+    return schema_tables(record_nodes(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p2_found, p2_paths, p2_descendants, p3_found, p3_report, p4_found, p5_found, p5_objects, p5_tables)}

@@ -148,7 +148,7 @@ _EDGE_TYPES = {"isRealizedBy": "EXPRESSED_IN", "isEmbodiedBy": "MANIFESTED_AS",
 @query()
 def json_edges(s, d):
     """Typed edges between the subjects of the linked-data records; HAS_VERSION points from law to version."""
-    v = subject_values(P.fedlex_nodes(s, d)).where(F.col("entry_name").isin(*_EDGE_TYPES))
+    v = subject_values(P.record_nodes(s, d)).where(F.col("entry_name").isin(*_EDGE_TYPES))
     kinds = F.create_map(*[F.lit(x) for pair in _EDGE_TYPES.items() for x in pair])
     turned = F.col("entry_name") == "isMemberOf"
     return v.select(F.when(turned, F.col("entry_value")).otherwise(F.col("subject_uri")).alias("src"), F.when(turned, F.col("subject_uri")).otherwise(F.col("entry_value")).alias("dst"), F.try_element_at(kinds, F.col("entry_name")).alias("type")).distinct()
@@ -157,7 +157,7 @@ def json_edges(s, d):
 @query()
 def json_laws(s, d):
     """One row per subject with its dates, status and titles as columns."""
-    v = subject_values(P.fedlex_nodes(s, d))
+    v = subject_values(P.record_nodes(s, d))
     names = ["dateDocument", "dateEntryInForce", "dateNoLongerInForce", "dateApplicability", "dateEndApplicability", "inForceStatus", "typeDocument", "title", "titleShort"]
     return v.groupBy("subject_uri").agg(*[F.min(F.when(F.col("entry_name") == n, F.col("entry_value"))).alias(n) for n in names], F.countDistinct("record_id").alias("n_records"))
 
