@@ -40,7 +40,7 @@ SLOTS = [
     r"\{\{[^{}]{0,60}\}\}", r"\{%[^%{}]{0,60}%\}", r"<%[^%<>]{0,60}%>", r"\$\{[^{}]{0,60}\}", r"%\(\w+\)[sd]", r"(?<![\w%])%[sd](?!\w)", r"\{\d+\}", r"\{[A-Za-z]\w*[A-Za-z]\w*\}",
     r"\[\[[^\[\]]{1,60}\]\]", r"<<[^<>]{1,60}>>", r"@@\w+@@", r"#[A-Z][A-Z_]+#", r"\$[A-Z][A-Z_]+\$", r"\[[●•]\]", r"\bXX\.XX\.(?:20)?XX(?:XX)?\b", r"\b(?:TT|JJ|DD|GG)\.MM\.[JAY]{4}\b",
     rf"[\[<](?:[^\]<>]{{0,40}} )?(?:{_OPEN_WORDS})[\]>]", rf"_{{4,}} ?\((?:[^)]{{0,40}} )?(?:{_OPEN_WORDS})\)",
-    r"(?<![\w-])undefined(?![\w-])", r"(?<![\w-])NaN(?![\w-])", r"\[object Object\]", r"\w: ?(?:null|None|nil)(?![\w-])", r"(?<![\w-])None(?![\w-])",
+    r"(?<![\w-])undefined(?![\w-])", r"(?<![\w-])NaN(?![\w-])", r"\[object Object\]", r"\w: ?(?:null|None|nil)(?![\w-])",
 ]
 
 FILLER = [
