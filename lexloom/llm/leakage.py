@@ -85,6 +85,13 @@ def _rolling(codes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def in_slices(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.DataFrame]:
+    """Batches cut into slices, so that what is derived from a batch stays small."""
+    for pdf in batches:
+        for i in range(0, len(pdf), rows):
+            yield pdf.iloc[i : i + rows]
+
+
 def _codes(texts, cache: WordCodes) -> tuple[np.ndarray, np.ndarray]:
     """All words' codes of a batch of texts, and where each text begins."""
     parts, starts = [np.empty(0, np.uint64)], [0]
@@ -115,7 +122,7 @@ class Known:
 def _doc_seeds(batches: Iterator[pd.DataFrame], seeds: np.ndarray | None) -> Iterator[pd.DataFrame]:
     """Documents with enough seeds close together: their words' codes and their seeds."""
     cache, known = WordCodes(), Known(seeds) if seeds is not None else None
-    for pdf in batches:
+    for pdf in in_slices(batches):
         codes, starts = _codes(pdf["text"], cache)
         hashes = _rolling(codes, SEED_WORDS)
         hit = known.positions(hashes) if known else np.arange(len(hashes))
@@ -289,7 +296,7 @@ def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     item_seeds = texts.select("item_id", F.posexplode("seeds").alias("item_at", "seed"))
     n_seeds = texts.agg(F.coalesce(F.sum(F.size("seeds")), F.lit(0))).head()[0]
     if n_seeds == 0:
-        return docs.where("false").select("doc_id").join(items.where("false").select("item_id"), F.lit(True))
+        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {item_kind}")
     shared = None
     if n_seeds <= MAX_BROADCAST_SEEDS:
         distinct = [r[0] for r in item_seeds.select("seed").distinct().toLocalIterator()]

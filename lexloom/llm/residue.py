@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.leakage import _OTHER, _spell, fold
+from lexloom.llm.leakage import _OTHER, _spell, fold, in_slices
 
 #: Buckets of the hashed features; documents and segments that the classifier is fitted on, at most.
 BUCKETS = 1 << 18
@@ -322,7 +322,7 @@ def train(docs: DataFrame) -> Model:
 
 def _find(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
     cache = Features()
-    for pdf in batches:
+    for pdf in in_slices(batches):
         texts = pdf["text"].to_numpy(object)
         seg, feats, doc = _featurize(texts, cache)
         scores = model.scores(seg, feats, len(doc))
