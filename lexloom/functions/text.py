@@ -72,3 +72,19 @@ def numbered_paragraphs(text: Column) -> Column:
     rows = F.transform(marked, lambda p: F.struct(number(p).alias("number"), _strip(F.split_part(p, F.lit("\u0002"), F.lit(2))).alias("text")))
     whole = F.array(F.struct(F.lit("1").alias("number"), _strip(text).alias("text")))
     return F.when(F.size(marked) > 0, rows).otherwise(whole)
+
+
+def _roman(n: int) -> str:
+    return "x" * (n // 10) + ["", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"][n % 10]
+
+
+#: Roman numbers of articles up to 30, lower case.
+ROMANS = {n: _roman(n) for n in range(1, 31)}
+
+
+def sortable_number(number: Column) -> Column:
+    """An article number that sorts as text: digits padded to three, suffix kept, Roman up to XXX as digits; others stay."""
+    bare = F.regexp_replace(F.lower(F.trim(number)), r"^art\.?\s*", "")
+    pad = F.repeat(F.lit("0"), F.greatest(3 - F.length(F.regexp_extract(bare, r"^\d+", 0)), F.lit(0)))
+    arabic = F.create_map(*[F.lit(x) for n, r in ROMANS.items() for x in (r, f"{n:03d}")])
+    return F.when(bare.rlike(r"^\d"), F.concat(pad, bare)).otherwise(F.coalesce(F.try_element_at(arabic, bare), bare))

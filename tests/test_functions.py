@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import questions as Q
 from lexloom.functions.sr import is_valid_sr, normalize_sr, sr_levels
-from lexloom.functions.text import detect_language, keywords, numbered_paragraphs, occurrences, truncate_words, word_count
+from lexloom.functions.text import detect_language, keywords, numbered_paragraphs, occurrences, sortable_number, truncate_words, word_count
 from lexloom.functions.uris import article_number, canonical_uri, law_designation, law_of_uri, status_digit
 
 
@@ -55,3 +55,8 @@ def test_questions(spark):
     assert apply(spark, Q.ambiguity, ["maybe some of it or any"])[0] > apply(spark, Q.ambiguity, ["article 5"])[0] == 0.0
     found = apply(spark, Q.entities, ["Article 12a and art. 3 of 2004"])[0]
     assert list(found["articles"]) == ["12a", "3"] and list(found["dates"]) == ["2004"]
+
+
+def test_sortable_number(spark):
+    got = apply(spark, sortable_number, ["1", "12a", "Art. 5bis", "art 1000", "IV", "xxx", " 7 ", "Anhang", "", None])
+    assert got == ["001", "012a", "005bis", "1000", "004", "030", "007", "anhang", "", None]

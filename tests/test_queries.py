@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from lexloom.plans import catalogue, problems, reasoning
+from lexloom.plans import catalogue, problems, reasoning, structure
 
 SF = "/root/testdata/sf0.001"
-ALL = {**problems.QUERIES, **catalogue.QUERIES, **reasoning.QUERIES}
-SQL = {**problems.ORACLES, **catalogue.ORACLES, **reasoning.ORACLES}
+ALL = {**problems.QUERIES, **catalogue.QUERIES, **reasoning.QUERIES, **structure.QUERIES}
+SQL = {**problems.ORACLES, **catalogue.ORACLES, **reasoning.ORACLES, **structure.ORACLES}
 
 
 @pytest.fixture(scope="module")
