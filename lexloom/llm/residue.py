@@ -32,13 +32,16 @@ HEADING_WORDS = 12
 # ---- fixed values: how unfilled slots, filler and notices read ----
 
 _NAME = r"[A-Za-zÀ-ÿ][\w.]*"
+#: Quotes and sources stand in brackets too: beyond the length of a name, no sentence ends in a slot between such marks.
+_NO_END = r"(?![.;!?]\s)"
 _OPEN_WORDS = (
     r"hier eintragen|folgt|einsetzen|noch offen|einfügen|bitte [^\]>)]{1,30} ergänzen|à venir|à compléter|insérer [^\]>)]{1,30}|indiquer [^\]>)]{1,30} ici"
     r"|da completare|inserire [^\]>)]{1,30}|indicare qui [^\]>)]{1,30}|tbd|to be completed|insert [^\]>)]{1,30}|enter [^\]>)]{1,30} here"
 )
+#: A slot ends at its closing mark, however long; an opening mark starts it anew, so that a text is read in linear time.
 SLOTS = [
-    r"\{\{[^{}]{0,60}\}\}", r"\{%[^%{}]{0,60}%\}", r"<%[^%<>]{0,60}%>", r"\$\{[^{}]{0,60}\}", r"%\(\w+\)[sd]", r"(?<![\w%])%[sd](?!\w)", r"\{\d+\}", r"\{[A-Za-z]\w*[A-Za-z]\w*\}",
-    r"\[\[[^\[\]]{1,60}\]\]", r"<<[^<>]{1,60}>>", r"@@\w+@@", r"#[A-Z][A-Z_]+#", r"\$[A-Z][A-Z_]+\$", r"\[[●•]\]", r"\bXX\.XX\.(?:20)?XX(?:XX)?\b", r"\b(?:TT|JJ|DD|GG)\.MM\.[JAY]{4}\b",
+    r"\{\{(?:(?!\}\}|\{\{)[\s\S])*\}\}", r"\{%(?:(?!%\}|\{%)[\s\S])*%\}", r"<%(?:(?!%>|<%)[\s\S])*%>", r"\$\{[^{}]*\}", r"%\(\w+\)[sd]", r"(?<![\w%])%[sd](?!\w)", r"\{\d+\}", r"\{[A-Za-z]\w*[A-Za-z]\w*\}",
+    rf"\[\[(?:[^\[\]]{{1,60}}|(?:{_NO_END}[^\[\]])+)\]\]", rf"<<(?:[^<>]{{1,60}}|(?:{_NO_END}[^<>])+)>>", r"@@\w+@@", r"#[A-Z][A-Z_]+#", r"\$[A-Z][A-Z_]+\$", r"\[[●•]\]", r"\bXX\.XX\.(?:20)?XX(?:XX)?\b", r"\b(?:TT|JJ|DD|GG)\.MM\.[JAY]{4}\b",
     rf"[\[<](?:[^\]<>]{{0,40}} )?(?:{_OPEN_WORDS})[\]>]", rf"_{{4,}} ?\((?:[^)]{{0,40}} )?(?:{_OPEN_WORDS})\)",
     r"(?<![\w-])undefined(?![\w-])", r"(?<![\w-])NaN(?![\w-])", r"\[object Object\]", r"\w: ?(?:null|None|nil)(?![\w-])",
 ]
@@ -91,18 +94,34 @@ def _any(phrases) -> str:
 
 
 _SLOT = re.compile("|".join(SLOTS))
+#: Longer slots of brackets: what stands in them ends with a word, has one that asks for something, or stands between two.
+_BRACKETS = re.compile(r"[\[<]([^\[\]<>]+)[\]>]|_{4,} ?\(([^()]+)\)")
+_ASKS = re.compile(r"(?:^|\s)(?:(?:hier eintragen|folgt|einsetzen|noch offen|einfügen|à venir|à compléter|da completare|tbd|to be completed)$|(?:insérer|inserire|indicare qui|insert) .)")
+_ASKS_AROUND = [(re.compile(rf"(?:^|\s){head} "), f" {tail}") for head, tail in (("bitte", "ergänzen"), ("indiquer", "ici"), ("enter", "here"))]
+_SENTENCE = re.compile(r"[.;!?]\s")
 #: A slot holds one of these.
 _SLOT_SIGNS = ("{", "[", "<", "@@", "#", "$", "%", "____", "undefined", "NaN", "null", "None", "nil", "XX.", ".MM.")
 _FILLER = [f" {_plain(p)} " for p in FILLER]
 _LATIN_WORD = re.compile(rf"(?:{'|'.join(_LATIN)})\w*$")
 _NOTICE = re.compile(rf"(?<!\S)(?:{_any(NOTICES)}|{_SCRIPT}|{_CODES})(?!\S)")
 _BESIDE = re.compile(rf"(?<!\S)(?:{_any([*ADVICE, *[w for line in MENU.splitlines() for w in ([line] if ' ' in line and line.split()[0] not in ('startseite', 'accueil', 'contatto', 'home', 'de') else line.split())]])}|v\d+|\d[0-9a-f]*(?:-\d+)?|[0-9a-f]*\d[0-9a-f]*-\d+)(?!\S)")
+#: Lines of a program's trace; marks between the entries of a menu.
+_TRACE = re.compile(r"\s*(?:at [\w.$<>/]+ ?\(.*\)|File \".*\", line \d+.*|Traceback \(most recent call last\).*|Caused by: .*|\.\.\. \d+ (?:more|common frames).*)\s*$")
+_ITEMS = re.compile(r"\s[|·•›»/–]\s")
 _STATUS = re.compile(r"http status|bad gateway|code=\d{3}|error \d{3}|^\W*[45]\d\d\W*$|\([45]\d\d\)")
 
 
 def has_slot(text: str) -> bool:
     """A template slot that was never filled, or filled with a program's empty value."""
-    return any(sign in text for sign in _SLOT_SIGNS) and bool(_SLOT.search(text))
+    if not any(sign in text for sign in _SLOT_SIGNS):
+        return False
+    return bool(_SLOT.search(text)) or any(_asks(m[1] or m[2]) for m in _BRACKETS.finditer(text))
+
+
+def _asks(inner: str) -> bool:
+    if _SENTENCE.search(inner):
+        return False
+    return bool(_ASKS.search(inner)) or any(inner.endswith(tail) and (m := head.search(inner)) and m.end() < len(inner) - len(tail) for head, tail in _ASKS_AROUND)
 
 
 def _filler_words(plain: str) -> bool:
@@ -122,10 +141,17 @@ def has_filler(text: str, plain: str) -> bool:
     return _filler_words(plain) or any(_hollow(_plain(p).split()) for p in re.split(r"\n\s*\n", text))
 
 
+def _without_frame(text: str) -> str:
+    """The text without lines of a program's trace and lines that are menus."""
+    if len(text) < 100:
+        return text
+    lines = re.split(r"[\n\r]", text)
+    kept = [x for x in lines if not _TRACE.match(x) and not (len(items := _ITEMS.split(x)) >= 4 and all(len(i.split()) <= 3 for i in items))]
+    return text if len(kept) == len(lines) else "\n".join(kept)
+
+
 def is_notice(plain: str) -> bool:
     """Apart from menu words, a heading, header and footer only error, access, session, maintenance or script notices."""
-    if len(plain) > 4000:
-        return False
     rest, n = _NOTICE.subn(" ", plain)
     if not n:
         return False
@@ -140,7 +166,10 @@ def is_residue(text: str) -> bool:
     if has_slot(text):
         return True
     plain = _plain(text)
-    return has_filler(text, plain) or is_notice(plain)
+    if has_filler(text, plain) or is_notice(plain):
+        return True
+    rest = _without_frame(text)
+    return rest is not text and is_notice(_plain(rest))
 
 
 # ---- segments and hashed features ----

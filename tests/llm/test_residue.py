@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from lexloom.llm import residue as R
@@ -59,3 +61,26 @@ def test_small_tables_and_odd_rows(spark):
     want = [*range(len(YES)), len(rows) - 1]
     assert sorted(set(found)) == want and len(found) == len(want) + 3
     assert R.residue(df.limit(0)).count() == 0
+
+
+LONG = [
+    f"{ACT} {{% for artikel in gesetz.artikel_liste_sortiert if artikel.gueltig and artikel.sprache == 'de' %}}", f"{ACT} {{{{ gesetz.titel | default('Titel des Gesetzes wird von der Redaktion nachgetragen', {{}}) }}}}",
+    f"{ACT} <%= gesetz.titel_in_der_gewaehlten_sprache_oder_deutsch(artikel, absatz, ziffer) %>", f"{ACT} [Bezeichnung der zuständigen kantonalen Stelle und ihrer Adresse hier eintragen]", f"{ACT} [bitte Bezeichnung der zuständigen kantonalen Stelle ergänzen]",
+    "HTTP Status 500. " + "Zugriff verweigert. " * 400, "Interner Serverfehler\n" + "  at org.lex.render.Page.draw(Page.java:12)\n" * 200, "Seite nicht gefunden\n" + " | ".join(f"Rubrik{c} Tal" for c in "abcdefghijklmnopq" * 20),
+]
+
+
+@pytest.mark.parametrize("text", LONG)
+def test_long_slots_and_notices_are_read(text):
+    assert R.is_residue(text)
+
+
+def test_long_true_text_is_not():
+    assert not R.is_residue(f"{ACT} {{a, b, c}} " * 200 + "Seite nicht gefunden") and not R.is_residue(f"{ACT} [Fassung gemäss Beschluss vom 3. Mai. Die übrigen Bestimmungen lauten wie folgt] {ACT}")
+
+
+@pytest.mark.parametrize("part", ["{{", "<<", "[", "[bitte ", "[insert ", "insert ", "____ (a ", "{% "])
+def test_long_texts_are_read_in_linear_time(part):
+    began = time.process_time()
+    R.is_residue("[" + part * 30_000)
+    assert time.process_time() - began < 5
