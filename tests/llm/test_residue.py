@@ -84,3 +84,30 @@ def test_long_texts_are_read_in_linear_time(part):
     began = time.process_time()
     R.is_residue("[" + part * 30_000)
     assert time.process_time() - began < 5
+
+
+def test_wordings_left_out_of_the_labels_come_out_by_score(monkeypatch):
+    import re
+
+    import numpy as np
+    import pandas as pd
+
+    docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").dropna(subset="text").reset_index(drop=True)
+    docs = docs.assign(key=np.arange(len(docs)), host=docs["source"].fillna("").map(lambda x: sum(map(ord, x)) % 10))
+    full = np.array([R.is_residue(t) for t in docs["text"]])
+    left = [p for i, p in enumerate(R.NOTICES) if i % 4 != 3]
+    monkeypatch.setattr(R, "_FILLER", [f" {R._plain(p)} " for i, p in enumerate(R.FILLER) if i % 4 != 3])
+    monkeypatch.setattr(R, "_NOTICE", re.compile(rf"(?<!\S)(?:{R._any(left)}|{R._SCRIPT}|{R._CODES})(?!\S)"))
+    lost = full & ~np.array([R.is_residue(t) for t in docs["text"]])
+    model = R.fit(pd.concat(R._labelled(iter([docs]))).reset_index(drop=True))
+    model = R.calibrate(model, pd.concat(R._refused(iter([docs[docs["host"].isin(R.HELD_OUT)]]), model)))
+    found = np.isin(docs["doc_id"], pd.concat(R._find(iter([docs]), model))["doc_id"])
+    assert lost.sum() > 5 and (found & lost).sum() >= 0.7 * lost.sum() and (found & ~full).sum() <= 0.01 * full.sum()
+
+
+def test_repeated_word_below_a_heading_is_filler():
+    assert R.is_residue("Merkblatt der Anstalt Tramar\n" + "test Test " * 20)
+
+
+def test_short_true_texts_and_acts_with_notices_are_spared():
+    assert all(R.is_spared(R._plain(t)) for t in ("Betrifft nur den italienischen Text.", "Aufgehoben.", f"{ACT} JavaScript ist ausgeschaltet. {ACT}")) and not R.is_spared(R._plain("Der Server antwortet nicht."))
