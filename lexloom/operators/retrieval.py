@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,45 @@ def bm25(docs: DataFrame, doc: str, text: str, words: Sequence[str]) -> DataFram
     return both.select(doc, score.alias("bm25"))
 
 
+def _packed(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for i in range(0, len(pdf), size):
+            part = pdf.iloc[i : i + size]
+            yield pd.DataFrame({"ids": [part["id"].to_list()], "labels": [part["label"].to_list()], "vectors": [np.stack([np.asarray(v, np.float64) for v in part["vector"]]).tobytes()]})
+
+
+def _unit(vectors: bytes, n: int) -> np.ndarray:
+    m = np.frombuffer(vectors).reshape(n, -1)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm > 0, norm, 1)
+
+
+def _block_scores(batches: Iterator[pd.DataFrame], k: int | None, per_label: bool) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for b in pdf.itertuples():
+            ids, labels, queries = np.asarray(b.ids), np.asarray(b.labels), np.asarray(b.query_ids)
+            cos = np.round(_unit(b.query_vectors, len(queries)) @ _unit(b.vectors, len(ids)).T, 12)
+            for q, row in zip(queries, cos, strict=True):
+                order = np.lexsort((ids, -row)) if k else np.arange(len(ids))
+                if k and per_label:
+                    order = order[np.sort(np.concatenate([np.flatnonzero(labels[order] == x)[:k] for x in np.unique(labels)]))]
+                elif k:
+                    order = order[:k]
+                yield pd.DataFrame({"query_id": q, "id": ids[order], "label": labels[order], "cos": row[order]})
+
+
+def block_cosines(rows: DataFrame, queries: DataFrame, k: int | None = None, per_label: bool = False) -> DataFrame:
+    """(query_id, id, label, cos) of all rows for all queries, both (id, label, vector), by products of blocks.
+
+    Vectors of no length have cosine 0; cosines are rounded to 12 digits, so that equal vectors tie. With ``k`` each
+    pair of blocks gives only its best k of each query (and label); the best of all are among them.
+    """
+    kinds = "ids array<bigint>, labels array<int>, vectors binary"
+    pack = lambda df, size: df.select("id", "label", "vector").mapInPandas(lambda it: _packed(it, size), kinds)
+    asked = pack(queries, 256).select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
+    return pack(rows, 4096).crossJoin(asked).mapInPandas(lambda it: _block_scores(it, k, per_label), "query_id bigint, id bigint, label int, cos double")
+
+
 def min_max(score: Column, by: Window) -> Column:
     """Score on [0, 1] in its group; 0.5 where all are equal."""
     lo, hi = F.min(score).over(by), F.max(score).over(by)

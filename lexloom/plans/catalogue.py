@@ -16,7 +16,7 @@ from lexloom.operators import retrieval as R
 from lexloom.operators import temporal as T
 from lexloom.operators.dedup import latest_delivery
 from lexloom.plans.problems import _designation, _law, _number, _uri
-from lexloom.session import table
+from lexloom.session import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -663,6 +663,78 @@ def merge_statistics(s, d):
     return R.merge_methods(_method_results(s, d), {"vector": 0.3, "hybrid": 0.3}).groupBy("methods").agg(F.count(F.lit(1)).alias("n_results"))
 
 
+# the same for every stated query: all vectors whose id is divisible by 100, each against all
+
+_COS_ALL = "c as (select q.vec_id as query_id, e.vec_id, e.label, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 12) as cos from embeddings e, embeddings q where q.vec_id % 100 = 0)"
+
+
+def _all_cosines(s, d, k=None, per_label=False):
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    return R.block_cosines(e, e.where("id % 100 = 0"), k, per_label).withColumnRenamed("id", "vec_id")
+
+
+def _keyword(s, d):
+    b = R.bm25(table(s, d, "documents"), "doc_id", "text", WORDS)
+    return b.join(F.broadcast(b.agg(F.max("bm25").alias("m")))).select(F.col("doc_id").alias("id"), (F.col("bm25") / F.col("m")).alias("k"))
+
+
+def _query_ids(s, d):
+    return table(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
+
+
+@query(f"with {_COS_ALL} select query_id, vec_id, round(cos, 6) as cos from c qualify row_number() over (partition by query_id order by c.cos desc, vec_id) <= 20")
+def cosine_topk_all(s, d):
+    return R.top_per_group(_all_cosines(s, d, 20), ["query_id"], [F.desc("cos"), F.asc("vec_id")], 20).select("query_id", "vec_id", F.round("cos", 6).alias("cos"))
+
+
+@query(f"with {_COS_ALL} select query_id, label, vec_id, round(cos, 6) as cos from c qualify row_number() over (partition by query_id, label order by c.cos desc, vec_id) <= 3")
+def cosine_topk_per_label_all(s, d):
+    return R.top_per_group(_all_cosines(s, d, 3, True), ["query_id", "label"], [F.desc("cos"), F.asc("vec_id")], 3).select("query_id", "label", "vec_id", F.round("cos", 6).alias("cos"))
+
+
+@query(f"""with {_COS_ALL}, {_BM25}, kw as (select q.vec_id as query_id, doc_id, bm25 / (select max(bm25) from b) as k from b, embeddings q where q.vec_id % 100 = 0),
+  h as (select coalesce(c.query_id, kw.query_id) as query_id, coalesce(c.vec_id, kw.doc_id) as id, 0.6 * coalesce((1 + cos) / 2, 0) + 0.4 * coalesce(k, 0) as h from c full join kw on c.vec_id = kw.doc_id and c.query_id = kw.query_id)
+select query_id, id, round(h, 6) as hybrid from h where h >= 0.3 qualify row_number() over (partition by query_id order by h desc, id) <= 50""")
+def hybrid_search_all(s, d):
+    k = materialize(_keyword(s, d))
+    v = _all_cosines(s, d).select("query_id", F.col("vec_id").alias("id"), ((1 + F.col("cos")) / 2).alias("v"))
+    both = v.join(k, "id", "left").select("query_id", "id", (0.6 * F.col("v") + 0.4 * F.coalesce("k", F.lit(0.0))).alias("h"))
+    rest = k.join(table(s, d, "embeddings").select(F.col("vec_id").alias("id")), "id", "left_anti").select("id", (0.4 * F.col("k") + 0.0).alias("h")).where("h >= 0.3")
+    # without a vector a document scores alike for every query: its best 50 are the same
+    rest = rest.orderBy(F.desc("h"), "id").limit(50).crossJoin(_query_ids(s, d)).select("query_id", "id", "h")
+    return R.top_per_group(both.unionByName(rest).where("h >= 0.3"), ["query_id"], [F.desc("h"), F.asc("id")], 50).select("query_id", "id", F.round("h", 6).alias("hybrid"))
+
+
+@query(f"""with {_COS_ALL} select query_id, vec_id, round(case when max(cos) over w = min(cos) over w then 0.5 else (cos - min(cos) over w) / (max(cos) over w - min(cos) over w) end, 6) as minmax,
+  round(case when stddev_pop(cos) over w = 0 then 0.5 else 1 / (1 + exp(-(cos - avg(cos) over w) / stddev_pop(cos) over w)) end, 5) as zscore, round(1 - (row_number() over (partition by query_id, label order by cos desc, vec_id desc) - 1) / count(*) over w, 6) as rank_score from c window w as (partition by query_id, label)""")
+def normalized_scores_all(s, d):
+    w, c = Window.partitionBy("query_id", "label"), F.col("cos")
+    return _all_cosines(s, d).select("query_id", "vec_id", F.round(R.min_max(c, w), 6).alias("minmax"), F.round(R.z_sigmoid(c, w), 5).alias("zscore"), F.round(R.rank_score(w.orderBy(F.desc("cos"), F.desc("vec_id")), w), 6).alias("rank_score"))
+
+
+_METHODS_ALL = f"""{_COS_ALL}, {_BM25}, m as (select query_id, vec_id as uri, 'vector' as method, greatest(cos, 0) as score from c union all select q.vec_id, doc_id, 'hybrid', bm25 / (select max(bm25) from b) from b, embeddings q where q.vec_id % 100 = 0),
+  f as (select query_id, uri, sum(0.3 * score) as sc, count(*) as n_methods, string_agg(method, ',' order by method) as methods from m group by 1, 2)"""
+
+
+def _all_merged(s, d):
+    """Results of both methods for each query; the query goes into the key."""
+    key = F.concat_ws("/", "query_id", "id").alias("uri")
+    v = _all_cosines(s, d).withColumnRenamed("vec_id", "id").select(key, F.lit("vector").alias("method"), F.greatest(F.col("cos"), F.lit(0.0)).alias("score"))
+    k = materialize(_keyword(s, d)).crossJoin(_query_ids(s, d)).select(key, F.lit("hybrid").alias("method"), F.col("k").alias("score"))
+    at = F.split("uri", "/")
+    return R.merge_methods(v.unionByName(k), {"vector": 0.3, "hybrid": 0.3}).withColumns({"query_id": at[0].cast("long"), "uri": at[1]})
+
+
+@query(f"with {_METHODS_ALL} select query_id, uri::varchar as uri, round(case when n_methods > 1 then least(1.0, sc + 0.1 * (n_methods - 1)) else sc end, 5) as combined_score, n_methods, methods from f")
+def fused_results_all(s, d):
+    return _all_merged(s, d).select("query_id", "uri", F.round("combined_score", 5).alias("combined_score"), "n_methods", "methods")
+
+
+@query(f"with {_METHODS_ALL} select query_id, methods, count(*) as n_results from f group by 1, 2")
+def merge_statistics_all(s, d):
+    return _all_merged(s, d).groupBy("query_id", "methods").agg(F.count(F.lit(1)).alias("n_results"))
+
+
 @query()
 def document_languages(s, d):
     """Language by stop words beside the declared one (word boundaries know accents, so no SQL)."""

@@ -142,6 +142,12 @@ def result_diversity(s, d):
     return m.agg(F.round((F.countDistinct("methods") / F.count(F.lit(1)) + 1 / F.least(F.lit(4), F.count(F.lit(1)))) / 2, 6).alias("diversity"))
 
 
+@query(f"""with {C._METHODS_ALL} select query_id, round((count(distinct methods) * 1.0 / count(*) + 1.0 / least(4, count(*))) / 2, 6)::double as diversity from f group by 1""")
+def result_diversity_all(s, d):
+    n = F.count(F.lit(1))
+    return C._all_merged(s, d).groupBy("query_id").agg(F.round((F.countDistinct("methods") / n + 1 / F.least(F.lit(4), n)) / 2, 6).alias("diversity"))
+
+
 _EDGE_TYPES = {"isRealizedBy": "EXPRESSED_IN", "isEmbodiedBy": "MANIFESTED_AS", "isExemplifiedBy": "CONTAINS", "isMemberOf": "HAS_VERSION", "consolidationAbstract": "AMENDS", "impacts": "AMENDS", "basicAct": "BASED_ON", "classifiedByTaxonomyEntry": "CLASSIFIED_BY"}
 
 
