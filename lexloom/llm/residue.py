@@ -1,18 +1,21 @@
 """Template residue and error pages, found by a linear classifier that learns from weak labels.
 
-Texts fall into segments (lines and sentences). Segments are weakly labelled by status codes and by
-known phrases; a regularized logistic regression on hashed word n-grams, length and title features
-learns from a bounded sample of them and is validated on hosts that it has not seen. It scores every
-segment of every document. Documents that score clearly above what true texts of unseen hosts reach
-come out by themselves, whatever their wording; below, an exact reading of the whole text decides.
+Texts fall into segments: lines, sentences and what signs such as brackets open. Labelling functions
+(response statuses, titles and phrases) call segments of a bounded sample *open* (slots, filler),
+*notice* or *frame* (menus, footers, traces); the rest is plain. A regularized softmax regression on
+hashed word n-grams, shapes of signs, length and title features learns these labels. It scores every
+segment of every document, and the scores alone decide: a document comes out if its best segment is
+open, or if its words outside the frame read as a notice on the whole. Both thresholds are chosen on
+documents of hosts that the classifier has not seen, and tested on those of further hosts.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,19 +27,22 @@ from lexloom.llm.leakage import _OTHER, _spell, fold, in_slices
 
 #: Buckets of the hashed features; documents and segments that the classifier is fitted on, at most.
 BUCKETS = 1 << 18
-SAMPLE_DOCS, SAMPLE_SEGMENTS = 20_000, 60_000
-#: Of ten parts of the hosts, those that are held out; of unlabelled segments one in so many is taken.
-HELD_OUT, KEEP_PLAIN = (0, 1), 8
-#: Words of a heading that a notice may have beside it.
-HEADING_WORDS = 12
-#: A document comes out by its scores if its best segment, or the mean over its words, lies by so much above all but
-#: one in a hundred documents of held-out hosts that the reading refuses; with fewer of them than the last, none does.
-#: These hold residue of unlisted wordings too: a higher quantile would follow it, so the margin is wide instead.
-MARGIN_BEST, MARGIN_MEAN, LEAST_REFUSED = 2.8, 2.6, 200
+SAMPLE_DOCS, SAMPLE_SEGMENTS = 10_000, 200_000
+#: Of ten parts of the hosts: those whose documents choose the thresholds, and those that only test them. Of the plain
+#: segments of the other hosts one in so many is taken, but all that begin with a sign or stand in texts of SHORT words.
+CHOOSE, TEST, KEEP_PLAIN, SHORT = (0, 1), (2,), 12, 40
+#: Longest segment in words: what is longer falls into windows, so that a slot is not outweighed by its sentence.
+WINDOW = 10
+#: Classes of segments.
+PLAIN, OPEN, NOTICE, FRAME = range(4)
 #: Scores count up to so much in the mean over a document.
 CLIP = 6.0
+#: Threshold of a kind of which the choosing hosts hold fewer than LEAST documents.
+DEFAULT, LEAST = 1.0, 5
+#: Words of a heading that a notice may have beside it, for the labels.
+HEADING_WORDS = 12
 
-# ---- fixed values: how unfilled slots, filler and notices read ----
+# ---- labelling functions; fixed values: how unfilled slots, filler and notices read ----
 
 _NAME = r"[A-Za-zÀ-ÿ][\w.]*"
 #: Quotes and sources stand in brackets too: beyond the length of a name, no sentence ends in a slot between such marks.
@@ -89,6 +95,9 @@ _SCRIPT = (
     r"|\w+ \w+ richiede (?:javascript|script attivi)|attivare javascript(?: \w+){1,3}? per visualizzare(?: \w+){1,2}|javascript e \w+|il browser non esegu gli script|(?:please )?(?:enable|allow|turn on) javascript(?: \w+){1,4}? to view(?: \w+){1,2}"
     r"|\w+ \w+ requires (?:javascript|scripts) to run|(?:javascript|scripting) is (?:turned )?\w+|your browser dos not execute scripts"
 )
+#: A response status, for the labels: beside it a text of so many characters holds no provisions.
+STATUS_CHARS = 200
+_STATUS = re.compile(r"(?<!\S)(?:http status|bad gateway|error \d{3}|err connection \w+|upstream timed out|request id|template rendering failed|code \d{3} trace|[45]0\d)(?!\S)")
 _CODES = r"http status|bad gateway|error(?= \d)|err connection \w+|err \w+ \w+|upstream timed out|code \d+ trace|java lang \w+ at act render|exception template rendering failed line|request id|ref(?= [0-9a-f]{4})|template rendering failed"
 
 
@@ -115,9 +124,6 @@ _BESIDE = re.compile(rf"(?<!\S)(?:{_any([*ADVICE, *[w for line in MENU.splitline
 #: Lines of a program's trace; marks between the entries of a menu.
 _TRACE = re.compile(r"\s*(?:at [\w.$<>/]+ ?\(.*\)|File \".*\", line \d+.*|Traceback \(most recent call last\).*|Caused by: .*|\.\.\. \d+ (?:more|common frames).*)\s*$")
 _ITEMS = re.compile(r"\s[|·•›»/–]\s")
-#: Short true texts, in folded words: what was repealed, or concerns one language only.
-_TRUE_TEXT = re.compile(r"(?:aufgehoben|gegenstandslos|abrog\w*|repealed|nur (?:den|die|das) \w+ (?:text|fassung)|que (?:le texte|la version)|(?:soltanto|solo|unicamente) (?:il testo|la versione)|only (?:the \w+ (?:text|version)))")
-_STATUS = re.compile(r"http status|bad gateway|code=\d{3}|error \d{3}|^\W*[45]\d\d\W*$|\([45]\d\d\)")
 
 
 def has_slot(text: str) -> bool:
@@ -172,100 +178,125 @@ def is_notice(plain: str) -> bool:
     return len(left) <= HEADING_WORDS and "art" not in left
 
 
-def is_residue(text: str) -> bool:
-    """The exact reading: slot, filler or notice. Blank text is none."""
+def readings(text: str) -> tuple[bool, bool]:
+    """(open, notice): whether the labelling functions read a slot or filler, or nothing but notices. Blank text is neither."""
     if not text.strip():
-        return False
+        return False, False
     if has_slot(text):
-        return True
+        return True, False
     plain = _plain(text)
-    if has_filler(text, plain) or is_notice(plain):
-        return True
+    if has_filler(text, plain):
+        return True, False
+    if is_notice(plain):
+        return False, True
     rest = _without_frame(text)
-    return rest is not text and is_notice(_plain(rest))
-
-
-def is_spared(plain: str) -> bool:
-    """Whether scores don't settle a text that the reading refuses: it bears a known notice beside provisions, or is a short true text."""
-    return bool(_NOTICE.search(plain)) or (len(plain) < 200 and bool(_TRUE_TEXT.search(plain)))
+    return False, (rest is not text and is_notice(_plain(rest))) or (len(plain) < STATUS_CHARS and bool(_STATUS.search(plain)))
 
 
 # ---- segments and hashed features ----
 
 _KEEP = b"{}[]<>$%@#_=*"
-_TABLE = bytes(48 if 48 <= c < 58 else c if (c < 128 and chr(c).isalnum()) or c in _KEEP or c == 1 else 32 for c in range(256))
+_TABLE = bytes(48 if 48 <= c < 58 else c if (c < 128 and chr(c).isalnum()) or c in _KEEP or c in b"\x01~" else 32 for c in range(256))
 _SIGNS = re.compile(rb"([{}\[\]<>$%@#_=*]+)")
-_END = 1
+_ENDS = re.compile(rb"[\r\n]|[.!?;](?=\s)")
+_INNER = re.compile(rb"(?<=[a-z])\.(?=[a-z0-9])")
+
 
+class Vocabulary(dict):
+    """Number of each token, with hash codes of it and of its first five letters, its sign and its length."""
 
-class Features(dict):
-    """Hash codes of tokens and of their first five letters; the segment mark has code 0."""
+    def __init__(self):
+        super().__init__()
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.hash, self.stem, self.sign, self.length = (array("q", [0]) for _ in range(4))
+        self[b"\x01"] = 0
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        code = 0 if token == b"\x01" else xxhash.xxh32_intdigest(token) << 31 | (xxhash.xxh32_intdigest(token[:5], 7) >> 1) | 1
-        self[token] = code
-        return code
+        sign = token[:1] in _SIGN_BYTES
+        self.hash.append(xxhash.xxh32_intdigest(token))
+        self.stem.append(xxhash.xxh32_intdigest(token[:5], 7))
+        self.sign.append(1 + xxhash.xxh32_intdigest(token[:4], 3) % 65_521 if sign else 0)
+        self.length.append(0 if sign else len(token))
+        self[token] = n = len(self.hash) - 1
+        return n
+
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return tuple(np.array(x, np.int64) for x in (self.hash, self.stem, self.sign, self.length))
+
+
+_SIGN_BYTES = {bytes([c]) for c in _KEEP}
 
 
 def _tokens(text: str) -> list[bytes]:
     """Words, signs and segment marks of a text; digits are alike, accents don't count.
 
-    A segment ends with a line or sentence and before a run of signs such as brackets.
+    A segment ends with a line or sentence and before a run of signs such as brackets. Parts that
+    dots join, as in dd.mm.yyyy, stay one word.
     """
     text = text.lower().replace("•", "*").replace("●", "*")
     if not text.isascii():
         text = _OTHER.sub(_spell, unicodedata.normalize("NFKD", text))
-    flat = text.encode("ascii", "ignore").replace(b"\n", b" \x01 ").replace(b". ", b" \x01 ").replace(b"! ", b" \x01 ").replace(b"; ", b" \x01 ").translate(_TABLE)
+    flat = _INNER.sub(b"~", _ENDS.sub(b" \x01 ", text.encode("ascii", "ignore").replace(b"~", b" "))).translate(_TABLE)
     if _SIGNS.search(flat):
         flat = _SIGNS.sub(b" \x01 \\1 ", flat)
     return flat.split()
 
 
-def _featurize(texts, cache: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment of each feature, feature bucket, document of each segment) of a batch of texts."""
-    parts, doc_of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for d, text in enumerate(texts):
-        words = _tokens(text) if text else []
-        codes = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-        parts.append(codes)
-        parts.append(np.zeros(1, np.int64))
-        doc_of.append(np.full(len(codes) + 1, d))
-    codes, doc = np.concatenate(parts), np.concatenate(doc_of)
-    mark = codes == 0
-    seg = np.cumsum(np.concatenate([[0], mark[:-1]])) if len(codes) else codes
-    word = ~mark
-    two = word[:-1] & word[1:] if len(codes) else word
-    token, stem = codes >> 31, codes & ((1 << 31) - 1)
-    uni, head = token[word] % BUCKETS, (stem[word] + 1_000_003) % BUCKETS
-    bi = np.where(token[:-1][two] == token[1:][two], 611_953, token[:-1][two] * 0x9E3779B1 + token[1:][two]) % BUCKETS
-    n_seg = int(seg[-1]) + 1 if len(codes) else 0
-    length = np.bincount(seg[word], minlength=n_seg)
-    seg_doc = doc[mark] if n_seg else doc
-    real = np.flatnonzero(length)
-    first = np.ones(len(real), bool)
-    first[1:] = seg_doc[real][1:] != seg_doc[real][:-1]
-    doc_len = np.bincount(seg_doc, weights=length, minlength=1)[seg_doc[real]] if n_seg else np.empty(0)
-    shape = 7919 * (np.minimum(length[real], 31)) + 101
-    size = 104729 * (np.log2(np.maximum(doc_len, 1)).astype(np.int64) + 1) + 37
-    title = np.where(first, 15485863, 32452843)
-    which = np.concatenate([seg[word], seg[word], seg[:-1][two] if len(codes) else seg, real, real, real])
-    feats = np.concatenate([uni, head, bi, shape % BUCKETS, size % BUCKETS, title % BUCKETS])
-    renumber = np.zeros(max(n_seg, 1), np.int64)
-    renumber[real] = np.arange(len(real))
-    order = np.argsort(renumber[which], kind="stable") if len(which) else which
-    return renumber[which][order], feats[order], seg_doc[real] if n_seg else np.empty(0, np.int64)
-
-
-_WEAK = re.compile(r"\{\{|\$\{|\{%|<%|\[\[|<<|@@|\$ [a-z]|# [a-z_]|\[ ?\*|% s\b|% \w+ s\b|__ |\{ 0|\{ \w{3,} ?$|\bundefined\b|\bnan\b|object object|\b(?:xx xx 00xx|tt mm jjjj|jj mm aaaa|dd mm yyyy|gg mm aaaa)\b|\w null\b")
+def _featurize(texts, numbers: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(segment of each feature, its bucket, document and words of each segment) of a batch of texts; features go by segment."""
+    if len(numbers.hash) > 1_000_000:
+        numbers.reset()
+    parts = [np.array(list(map(numbers.__getitem__, _tokens(t))) if t else [], np.int64) for t in texts]
+    code = np.concatenate([np.empty(0, np.int64), *[np.append(x, 0) for x in parts]])  # a mark ends each text
+    doc = np.repeat(np.arange(len(parts)), [len(x) + 1 for x in parts])
+    mark = code == 0
+    after_mark = np.append(True, mark[:-1])[~mark] if len(code) else mark
+    code, doc = code[~mark], doc[~mark]
+    if not len(code):
+        none = np.empty(0, np.int64)
+        return none, none, none, none
+    spot = np.arange(len(code))
+    begin = after_mark | ((spot - np.maximum.accumulate(np.where(after_mark, spot, 0))) % WINDOW == 0)
+    seg, at = np.cumsum(begin) - 1, np.flatnonzero(begin)
+    length, seg_doc = np.diff(np.append(at, len(code))), doc[at]
+    hashes, stems, signs, lengths = numbers.arrays()
+    h, stem = hashes[code], stems[code]
+    pair = np.flatnonzero(~after_mark[1:])
+    both = np.where(h[pair] == h[pair + 1], 611_953, h[pair] * 0x9E3779B1 + h[pair + 1])
+    same_next = np.append(seg_doc[1:] == seg_doc[:-1], False)
+    title = np.append(True, ~same_next[:-1])
+    open_sign = signs[code[at]]
+    close_sign = np.where(same_next, signs[code[np.append(at[1:], 0)]], 0)  # the next segment begins with the sign that closes
+    held = np.minimum(length - (open_sign > 0), 6)
+    shape = ((open_sign * 65_537 + close_sign) * 8 + held) * 4 + np.digitize(np.maximum.reduceat(lengths[code], at), [2, 4])
+    signed = np.flatnonzero(open_sign)
+    doc_words = np.bincount(seg_doc, weights=length)[seg_doc]
+    heads = stem[at]
+    before, behind = np.where(title, 5, np.append(0, heads[:-1])), np.where(same_next, np.append(heads[1:], 0), 5)
+    one = np.arange(len(at))
+    which = np.concatenate([seg, seg, seg[pair], one, one, one, one, one, signed])
+    feats = np.concatenate([
+        h, stem + 1_000_003, both, 7919 * np.minimum(length, 31) + 101, 104729 * (np.log2(doc_words).astype(np.int64) + 1) + 37, np.where(title, 15485863, 32452843),
+        before * 0xC2B2AE35 + 17, behind * 0x27D4EB2F + 29, shape[signed] * 0x85EBCA6B + 11,
+    ]) % BUCKETS
+    order = np.argsort(which, kind="stable")
+    return which[order], feats[order], seg_doc, length
+
+
+_WEAK = re.compile(r"\{\{|\$\{|\{%|<%|\[\[|<<|@@|\$ [a-z]|# [a-z_]|\[ ?\*|% s\b|% \w+ s\b|__ |\{ 0|\{ \w{3,} ?$|\bundefined\b|\bnan\b|object object|\b(?:xx~xx~(?:00)?xx(?:xx)?|tt~mm~jjjj|jj~mm~aaaa|dd~mm~yyyy|gg~mm~aaaa)\b|\w null\b")
 _WEAK_OPEN = re.compile(rf"^[\[<] .*(?:{_plain('hier eintragen')}|folgt|einsetzen|noch offen|einfugen|erganzen|a venir|a completer|inserer|indiquer|da completare|inserire|indicare qui|tbd|to be completed|insert|enter)")
 
 
-def weak_labels(text: str) -> list[bool]:
-    """Per segment of :func:`_tokens` whether a phrase or a response status speaks for residue.
+def weak_labels(text: str) -> tuple[list[int], list[bool], bool, bool]:
+    """The class of each segment of :func:`_tokens`, whether it is rare, and the readings of the whole text.
+
+    Segments that begin with a sign and those of short texts are rare: the fit takes all of them.
 
-    In a short text with a response status all segments but menu words are taken for residue.
+    A sign speaks for a slot only in a text in which a slot is read. In a text that is read as a
+    notice, or that is short and names a response status, all segments but the frame are taken for one.
     """
     segments, line = [], []
     for token in [*_tokens(text), b"\x01"]:
@@ -275,162 +306,206 @@ def weak_labels(text: str) -> list[bool]:
             line = []
         else:
             line.append(token.decode())
-    short = len(text) < 400 and bool(_STATUS.search(text.lower()))
-    out = []
-    for words in segments:
+    is_open, notice = readings(text)
+    out, rare = [], []
+    short = sum(map(len, segments)) <= SHORT
+    for words in (x[i : i + WINDOW] for x in segments for i in range(0, len(x), WINDOW)):
         raw = " ".join(words)
         plain = _plain(raw)
-        hit = _hollow(words) or _filler_words(plain) or bool(_WEAK.search(raw) or _WEAK_OPEN.search(raw)) or (len(text) < 400 and bool(_NOTICE.search(plain)))
-        out.append(hit or (short and bool(_BESIDE.sub(" ", plain).split())))
-    return out
+        rare.append(short or raw[0].encode() in _SIGN_BYTES)
+        if is_open and (_hollow(words) or _filler_words(plain) or _WEAK.search(raw) or _WEAK_OPEN.search(raw)):
+            out.append(OPEN)
+        elif notice:
+            out.append(NOTICE if _BESIDE.sub(" ", plain).split() else FRAME)
+        else:
+            out.append(NOTICE if _NOTICE.search(plain) else PLAIN)
+    return out, rare, is_open, notice
 
 
-@dataclass
-class Model:
-    """Weights of the hashed features, the score from which a segment is proposed, and held-out figures.
+#: Slots as templates of letters and forms have them.
+EXAMPLES = [
+    "{{ name }}", "{name}", "${name}", "[Name]", "[Datum]", "[Ort]", "[Adresse]", "[Vorname Name]", "<Name>", "<Datum>", "[Nom]", "[Date]", "[Lieu]", "[Prénom Nom]", "<Nom>", "<Date>", "[Nome]", "[Data]", "[Luogo]", "[Nome Cognome]", "<Nome>", "<Data>",
+    "[Your Name]", "[Company Name]", "[Address]", "[Insert Date]", "<Your Name>", "<Address>", "TT.MM.JJJJ", "DD.MM.YYYY", "JJ.MM.AAAA", "GG.MM.AAAA", "XX.XX.20XX", "XX.XX.XXXX",
+]
 
-    ``best`` and ``mean`` are the scores from which a document comes out by its best segment or by the mean of its words.
-    """
 
-    weights: np.ndarray
-    bias: float
-    threshold: float
-    figures: dict
-    best: float = np.inf
-    mean: float = np.inf
+def seed_texts() -> list[tuple[str, int]]:
+    """The labelling phrases and examples of slots with their class, so that tables that hold none know each class."""
+    return [(p, OPEN) for p in [*FILLER, *EXAMPLES]] + [(p, NOTICE) for p in [*NOTICES, *ADVICE]] + [(p, FRAME) for p in MENU.splitlines()]
+
+
+def _rows(texts: list, keep, word_numbers: Vocabulary, labels: list[list[int]] | None = None) -> list[tuple]:
+    """(text, segment, class, words, features) of the segments for which ``keep(text, segment, class)`` holds."""
+    seg, feats, doc, length = _featurize(texts, word_numbers)
+    bounds = np.searchsorted(seg, np.arange(len(doc) + 1))
+    starts = np.searchsorted(doc, np.arange(len(texts)))
+    out = []
+    for n, d in enumerate(doc.tolist()):
+        s = n - int(starts[d])
+        kind = labels[d][s]
+        if keep(d, s, kind):
+            out.append((d, s, kind, int(length[n]), feats[bounds[n] : bounds[n + 1]].astype(np.int32)))
+    return out
 
-    def scores(self, seg: np.ndarray, feats: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(seg, weights=self.weights[feats], minlength=n) + self.bias
 
-    def of_documents(self, texts, cache: Features) -> tuple[np.ndarray, np.ndarray]:
-        """The best segment's score and the mean over the features of each text; those without words have none."""
-        seg, feats, doc = _featurize(texts, cache)
-        z = self.scores(seg, feats, len(doc))
-        size = np.bincount(seg, minlength=len(doc)).astype(float)
-        best = np.full(len(texts), -np.inf)
-        np.maximum.at(best, doc, z)
-        total = np.bincount(doc, weights=size, minlength=len(texts))
-        mean = np.bincount(doc, weights=size * np.clip(z, -CLIP, CLIP), minlength=len(texts))
-        return best, np.where(total > 0, mean / np.maximum(total, 1), -np.inf)
+ROWS = "key long, s int, host int, kind int, words int, opened boolean, noticed boolean, feats array<int>"
 
 
 def _labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache = Features()
-    for pdf in batches:
-        rows = []
-        for key, host, text in zip(pdf["key"], pdf["host"], pdf["text"], strict=True):
-            seg, feats, _ = _featurize([text], cache)
-            labels = weak_labels(text)
-            n = int(seg[-1]) + 1 if len(seg) else 0
-            bounds = np.searchsorted(seg, np.arange(n + 1))
-            for s in range(n):
-                if labels[s] or (key + s) % KEEP_PLAIN == 0:
-                    rows.append((int(key), s, int(host), bool(labels[s]), feats[bounds[s] : bounds[s + 1]].astype(np.int32)))
-        yield pd.DataFrame(rows, columns=["key", "s", "host", "label", "feats"])
-
-
-def sample(docs: DataFrame, n_docs: int) -> DataFrame:
-    """(key, host, text) of at most about SAMPLE_DOCS documents, picked by a hash."""
-    share = min(1.0, SAMPLE_DOCS / max(n_docs, 1))
-    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
+    """Labelled segments: all of the hosts that choose or test, and of the others the labelled and some of the plain."""
+    numbers = Vocabulary()
+    for pdf in in_slices(batches, 500):
+        keys, hosts = pdf["key"].to_numpy(np.int64), pdf["host"].to_numpy(np.int64)
+        told = [weak_labels(t) for t in pdf["text"]]
+        whole = np.isin(hosts, [*CHOOSE, *TEST])
+        rows = _rows(pdf["text"].to_list(), lambda d, s, kind: whole[d] or kind != PLAIN or told[d][1][s] or (keys[d] + s) % KEEP_PLAIN == 0, numbers, [x[0] for x in told])
+        yield pd.DataFrame([(keys[d], s, hosts[d], kind, n, told[d][2], told[d][3], f) for d, s, kind, n, f in rows], columns=["key", "s", "host", "kind", "words", "opened", "noticed", "feats"])
+
+
+def labelled_segments(docs: DataFrame) -> pd.DataFrame:
+    """Weakly labelled segments of about SAMPLE_DOCS documents picked by a hash of their id, SAMPLE_SEGMENTS at most."""
+    share = min(1.0, SAMPLE_DOCS / max(docs.count(), 1))
+    key = F.xxhash64("doc_id")
+    picked = F.pmod(key, F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
     host = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(10)).cast("int")
-    return docs.where(F.col("text").isNotNull() & (key < int(share * 1_000_000))).select(key.alias("key"), host.alias("host"), "text")
-
+    sample = docs.where(F.col("text").isNotNull() & picked).select(key.alias("key"), host.alias("host"), "text")
+    return sample.mapInPandas(_labelled, ROWS).orderBy("key", "s", "feats").limit(SAMPLE_SEGMENTS).toPandas()
 
-def labelled_segments(docs: DataFrame, n_docs: int) -> pd.DataFrame:
-    """Weakly labelled segments of the sample, at most SAMPLE_SEGMENTS."""
-    rows = sample(docs, n_docs).mapInPandas(_labelled, "key long, s int, host int, label boolean, feats array<int>")
-    return rows.orderBy("key", "s", "feats").limit(SAMPLE_SEGMENTS).toPandas()
 
+@dataclass
+class Model:
+    """Weights of the hashed features per class, the scores from which a document comes out, and figures of unseen hosts."""
 
-def fit(rows: pd.DataFrame, l2: float = 2e-4, rounds: int = 250, rate: float = 0.5) -> Model:
-    """L2-regularized logistic regression by AdaGrad on all rows of the hosts that are not held out.
+    weights: np.ndarray
+    bias: np.ndarray
+    open_from: float
+    notice_from: float
+    figures: dict
 
-    A document is proposed by its best segment. The threshold lies below the best labelled segments
-    of all but one in 500 documents of either part, so that the exact reading decides. Without both
-    labels everything is proposed.
-    """
-    weights = np.zeros(BUCKETS)
-    held = rows["host"].isin(HELD_OUT).to_numpy()
-    y_all = rows["label"].to_numpy(bool)
-    if not len(rows) or y_all[~held].all() or not y_all[~held].any():
-        return Model(weights, 0.0, -np.inf, {})
-    lengths = rows["feats"].map(len).to_numpy()
-    flat, of = np.concatenate(rows["feats"].to_list()), np.repeat(np.arange(len(rows)), lengths)
-    train = ~held[of]
-    f, s = flat[train], of[train]
-    y, use = y_all.astype(float), (~held).astype(float)
-    use = use * np.where(y_all, 0.5 / max((y_all & ~held).sum(), 1), 0.5 / max((~y_all & ~held).sum(), 1)) * (~held).sum()
-    bias, seen, seen_b = 0.0, np.full(BUCKETS, 1e-8), 1e-8
+    def segment_scores(self, seg: np.ndarray, feats: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(seg, weights=w[feats], minlength=n) + b for w, b in zip(self.weights, self.bias, strict=True)])
+
+    def of_documents(self, texts: list, numbers: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+        """How open the best segment of each text is, and how much its words outside the frame read as a notice; without words -inf."""
+        seg, feats, doc, length = _featurize(texts, numbers)
+        return document_scores(self.segment_scores(seg, feats, len(doc)), doc, length, len(texts))
+
+    def finds(self, texts: list, numbers: Vocabulary) -> np.ndarray:
+        is_open, notice = self.of_documents(texts, numbers)
+        return (is_open >= self.open_from) | (notice >= self.notice_from)
+
+
+def document_scores(z: np.ndarray, doc: np.ndarray, length: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    is_open = np.full(n, -np.inf)
+    np.maximum.at(is_open, doc, z[OPEN] - np.logaddexp(np.logaddexp(z[PLAIN], z[NOTICE]), z[FRAME]))
+    body = np.where(z.argmax(axis=0) == FRAME, 0, length).astype(float) if len(doc) else np.empty(0)
+    total = np.bincount(doc, weights=body, minlength=n)
+    if len(doc):
+        body = np.where(total[doc] > 0, body, length)  # of nothing but frame the frame is read
+    total = np.bincount(doc, weights=body, minlength=n)
+    notice = np.bincount(doc, weights=body * np.clip(z[NOTICE] - np.logaddexp(z[PLAIN], z[OPEN]), -CLIP, CLIP), minlength=n)
+    return is_open, np.where(total > 0, notice / np.maximum(total, 1), -np.inf)
+
+
+def _regress(feats: list, kinds: np.ndarray, l2: float, rounds: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax regression with L2 by AdaGrad on all rows, classes weighed alike."""
+    flat, of = np.concatenate(feats), np.repeat(np.arange(len(feats)), list(map(len, feats)))
+    used, flat = np.unique(flat, return_inverse=True)
+    n, k = len(kinds), FRAME + 1
+    counts = np.bincount(kinds, minlength=k)
+    share = 1 / np.maximum(counts, 1)[kinds] / (counts > 0).sum()
+    target = np.zeros((k, n))
+    target[kinds, np.arange(n)] = 1
+    w, b = np.zeros((k, len(used))), np.zeros(k)
+    seen_w, seen_b = np.full(w.shape, 1e-8), np.full(k, 1e-8)
     for _ in range(rounds):
-        z = np.bincount(s, weights=weights[f], minlength=len(rows)) + bias
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * use / use.sum()
-        grad = np.bincount(f, weights=g[s], minlength=BUCKETS) + l2 * weights
-        seen += grad**2
-        weights -= rate * grad / np.sqrt(seen)
-        seen_b += g.sum() ** 2
-        bias -= rate * g.sum() / np.sqrt(seen_b)
-    z = np.bincount(of, weights=weights[flat], minlength=len(rows)) + bias
-    best = pd.DataFrame({"key": rows["key"], "held": held, "z": z})[y_all].groupby(["held", "key"])["z"].max()
-    low = float(best.groupby("held").quantile(0.002).min())
-    hit = (z > 0) & held
-    figures = {
-        "train_segments": int((~held).sum()), "held_out_segments": int(held.sum()), "held_out_hosts_share": len(HELD_OUT) / 10,
-        "precision": float((hit & y_all).sum() / max(hit.sum(), 1)), "recall": float((hit & y_all).sum() / max((held & y_all).sum(), 1)),
-        "documents_recall": float((best[True] >= min(low, 0) - 1).mean()) if held[y_all].any() else 1.0,
-        "plain_segments_proposed": float((z[~y_all] >= min(low, 0) - 1).mean()),
+        z = np.stack([np.bincount(of, weights=w[c][flat], minlength=n) + b[c] for c in range(k)])
+        p = np.exp(z - z.max(axis=0))
+        g = (p / p.sum(axis=0) - target) * share
+        for c in range(k):
+            grad = np.bincount(flat, weights=g[c][of], minlength=len(used)) + l2 * w[c]
+            seen_w[c] += grad**2
+            w[c] -= rate * grad / np.sqrt(seen_w[c])
+        total = g.sum(axis=1)
+        seen_b += total**2
+        b -= rate * total / np.sqrt(seen_b)
+    weights = np.zeros((k, BUCKETS), np.float32)
+    weights[:, used] = w
+    return weights, b
+
+
+def choose(scores: np.ndarray, labels: np.ndarray) -> float:
+    """The threshold with the best F1, in the middle between the two scores that it separates; the lower of equal ones."""
+    if labels.sum() < LEAST:
+        return DEFAULT
+    order = np.argsort(-scores, kind="stable")
+    s, y = scores[order], labels[order]
+    f1 = 2 * np.cumsum(y) / (np.arange(1, len(s) + 1) + y.sum())
+    f1[:-1][s[1:] == s[:-1]] = -1
+    at = len(s) - 1 - int(np.argmax(f1[::-1]))
+    return float(max((s[at] + s[at + 1]) / 2, s[at] - 2 * CLIP)) if at + 1 < len(s) else float(s[at] - 1)
+
+
+def fit(rows: pd.DataFrame, l2: float = 1e-4, rounds: int = 120, rate: float = 0.5) -> Model:
+    """The classifier of labelled segments (see :func:`labelled_segments`) and of the phrases themselves.
+
+    Hosts of CHOOSE and TEST are left out of the fit. Thresholds are those that serve the readings
+    of whole documents of the hosts of CHOOSE best; figures are of documents of the hosts of TEST.
+    """
+    hosts, kinds = rows["host"].to_numpy(np.int64), rows["kind"].to_numpy(np.int64)
+    seen = ~np.isin(hosts, [*CHOOSE, *TEST])
+    seeds = [(f, kind) for (text, kind) in seed_texts() for *_, f in _rows([text], lambda d, s, _: s == 0, Vocabulary(), [[kind] * 99])]
+    feats = [f for f, ok in zip(rows["feats"], seen, strict=True) if ok] + [f for f, _ in seeds]
+    told = np.concatenate([kinds[seen], [k for _, k in seeds]]).astype(np.int64)
+    weights, bias = _regress(feats, told, l2, rounds // 3, rate)
+    model = Model(weights, bias, DEFAULT, DEFAULT, {})
+    # plain is also what no labelling function knows: what the first fit takes for a notice is left out of the second
+    flat, of = np.concatenate(feats), np.repeat(np.arange(len(feats)), list(map(len, feats)))
+    sure = (told != PLAIN) | (model.segment_scores(of, flat, len(feats)).argmax(axis=0) != NOTICE)
+    model.weights, model.bias = _regress([f for f, ok in zip(feats, sure, strict=True) if ok], told[sure], l2, rounds, rate)
+
+    def scored(part) -> tuple[np.ndarray, ...]:
+        mine = rows[np.isin(hosts, part)]
+        if not len(mine):
+            return tuple(np.empty(0) for _ in range(6))
+        number, first = np.unique(mine["key"], return_inverse=True)[1], np.unique(mine["key"], return_index=True)[1]
+        flat, of = np.concatenate(mine["feats"].to_list()), np.repeat(np.arange(len(mine)), mine["feats"].map(len))
+        z = model.segment_scores(of, flat, len(mine))
+        a, b = document_scores(z, number, mine["words"].to_numpy(np.int64), len(first))
+        return a, b, mine["opened"].to_numpy(bool)[first], mine["noticed"].to_numpy(bool)[first], z.argmax(axis=0), mine["kind"].to_numpy()
+
+    is_open, notice, opened, noticed, *_ = scored(CHOOSE)
+    model.open_from, model.notice_from = choose(is_open, opened), choose(notice, noticed)
+    is_open, notice, opened, noticed, said, told = scored(TEST)
+    hit, true = (is_open >= model.open_from) | (notice >= model.notice_from), (opened + noticed).astype(bool)
+    share = lambda a, b: float(a.sum() / b.sum()) if b.sum() else 1.0
+    model.figures = {
+        "fitted_segments": int(seen.sum()), "test_documents": len(hit), "test_labelled_documents": int(true.sum()), "open_from": model.open_from, "notice_from": model.notice_from,
+        "precision": share(hit & true, hit), "recall": share(hit & true, true), "segment_accuracy": share(said == told, np.ones(len(told), bool)),
     }
-    return Model(weights.astype(np.float32), float(bias), float(min(low, 0) - 1), figures)
-
-
-def _refused(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
-    cache = Features()
-    for pdf in in_slices(batches):
-        texts = pdf["text"].to_numpy(object)
-        best, mean = model.of_documents(texts, cache)
-        keep = [d for d in np.flatnonzero(np.isfinite(best)) if not (best[d] >= model.threshold and (is_residue(texts[d]) or is_spared(_plain(texts[d]))))]
-        yield pd.DataFrame({"best": best[keep], "mean": mean[keep]})
-
-
-def calibrate(model: Model, refused: pd.DataFrame) -> Model:
-    """The model with the scores from which documents come out by themselves, by (best, mean) of refused documents of held-out hosts."""
-    if len(refused) < LEAST_REFUSED or not model.figures:
-        return model
-    best, mean = refused["best"].quantile(0.99) + MARGIN_BEST, refused["mean"].quantile(0.99) + MARGIN_MEAN
-    return replace(model, best=float(best), mean=float(mean), figures={**model.figures, "calibration_documents": len(refused), "best_from": float(best), "mean_from": float(mean)})
+    return model
 
 
 def train(docs: DataFrame) -> Model:
-    n_docs = docs.count()
-    model = fit(labelled_segments(docs, n_docs))
-    if not model.figures:
-        return model
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    held = sample(docs, n_docs).where(F.col("host").isin(*HELD_OUT)).select("text")
-    refused = held.mapInPandas(lambda it: _refused(it, shared.value), "best double, mean double").toPandas()  # two numbers for each of a fifth of the sample
-    return calibrate(model, refused)
+    return fit(labelled_segments(docs))
 
 
 def _find(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
-    cache = Features()
+    numbers = Vocabulary()
     for pdf in in_slices(batches):
-        texts = pdf["text"].to_numpy(object)
-        best, mean = model.of_documents(texts, cache)
-        alone = (best >= model.best) | (mean >= model.mean)
-        proposed = np.flatnonzero((best >= model.threshold) & np.isfinite(best) | alone)
-        keep = [d for d in proposed if is_residue(texts[d]) or (alone[d] and not is_spared(_plain(texts[d])))]
-        yield pdf.iloc[keep][["doc_id"]]
+        yield pdf.loc[model.finds(pdf["text"].to_list(), numbers), ["doc_id"]]
 
 
 def residue(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id) of documents with unfilled slots, filler paragraphs, or nothing but notices, by their scores or by the reading.
+    """(doc_id) of documents with unfilled slots, filler paragraphs, or nothing but notices, by the classifier's scores.
 
     ``docs`` has (doc_id, text, source); other columns are ignored. Null and blank texts and empty
     tables give no rows; copies count each; whole texts are read, however long. The model is fitted
-    on a bounded sample of the documents unless one is given.
+    on a bounded sample of the documents (SAMPLE_DOCS, SAMPLE_SEGMENTS) unless one is given; tables
+    of a few rows are better served by a model of a larger one.
     """
     model = model or train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights: 1 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # four times BUCKETS weights: 4 MB
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.where("text is not null").select("doc_id", "text")
     return texts.mapInPandas(lambda it: _find(it, shared.value), f"doc_id {kind}")

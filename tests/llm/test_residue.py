@@ -1,5 +1,8 @@
+import re
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from lexloom.llm import residue as R
@@ -19,48 +22,102 @@ NO = [
 ]
 
 
+@pytest.fixture(scope="module")
+def docs():
+    import xxhash
+
+    docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").dropna(subset="text").reset_index(drop=True)
+    docs = docs.assign(key=docs["doc_id"], host=docs["source"].fillna("").map(lambda x: xxhash.xxh32_intdigest(x) % 10))
+    return docs.assign(read=[any(R.readings(t)) for t in docs["text"]])
+
+
+def learn(docs):
+    return R.fit(pd.concat(R._labelled(iter([docs])), ignore_index=True))
+
+
+@pytest.fixture(scope="module")
+def model(docs):
+    return learn(docs)
+
+
+def found(model, texts):
+    return model.finds(list(texts), R.Vocabulary())
+
+
 @pytest.mark.parametrize("text", YES)
-def test_residue_is_read(text):
-    assert R.is_residue(text)
+def test_labels_read_residue(text):
+    assert any(R.readings(text))
 
 
 @pytest.mark.parametrize("text", NO)
-def test_true_text_is_not(text):
-    assert not R.is_residue(text)
+def test_labels_read_no_true_text(text):
+    assert not any(R.readings(text))
+
+
+def test_scores_decide(model):
+    assert found(model, YES).mean() >= 0.9 and found(model, NO).sum() <= 1
+    assert not found(model, ["", " \n", None]).any()
+
+
+def test_wordings_that_no_label_names_come_out(model):
+    unlisted = [
+        "You need to enable JavaScript to run this app.", "503 Service Unavailable. The server cannot handle the request.", "Forbidden. You don't have permission to access this resource.", "Just a moment... Checking your browser before accessing the site.",
+        "Dear [Recipient Name], we refer to your letter.", "Sehr geehrte/r <Name>, wir danken für Ihr Schreiben.", "Diese Seite kann ohne JavaScript nicht angezeigt werden.",
+    ]
+    assert sum(any(R.readings(t)) for t in unlisted) <= 1  # a status is a label too
+    assert found(model, unlisted).all()
+
+
+def test_withheld_wordings_and_unseen_hosts(monkeypatch, docs):
+    """Every fourth wording is withheld from labels and seeds, in turn; the documents that then no label knows come out."""
+    read, lost_all, found_all = docs["read"].to_numpy(), 0, 0
+    for k in range(4):
+        filler, notices = ([p for i, p in enumerate(x) if i % 4 != k] for x in (R.FILLER, R.NOTICES))
+        with monkeypatch.context() as m:
+            m.setattr(R, "FILLER", filler)
+            m.setattr(R, "NOTICES", notices)
+            m.setattr(R, "_FILLER", [f" {R._plain(p)} " for p in filler])
+            m.setattr(R, "_NOTICE", re.compile(rf"(?<!\S)(?:{R._any(notices)}|{R._SCRIPT}|{R._CODES})(?!\S)"))
+            lost = read & ~np.array([any(R.readings(t)) for t in docs["text"]])
+            hit = found(learn(docs), docs["text"])
+        assert (hit & ~read).sum() <= 0.02 * read.sum() and (hit & read).sum() >= 0.97 * read.sum()
+        lost_all, found_all = lost_all + lost.sum(), found_all + (hit & lost).sum()
+    assert lost_all > 20 and found_all >= 0.9 * lost_all
 
 
 def test_features_number_segments_and_documents():
-    texts = ["Ein Satz. Noch einer!\n\nZeile", "", None, "{{x}}", "Wort"]
-    seg, feats, doc = R._featurize(texts, R.Features())
+    texts = ["Ein Satz. Noch einer!\n\nZeile", "", None, "{{x}}", "Wort " * 35]
+    seg, feats, doc, length = R._featurize(texts, R.Vocabulary())
     assert list(doc) == sorted(doc) and set(doc) == {0, 3, 4} and (feats < R.BUCKETS).all() and (feats >= 0).all()
-    assert set(seg) == set(range(len(doc)))
+    assert set(seg) == set(range(len(doc))) and list(length[doc == 4]) == [10, 10, 10, 5]
     for t in texts:
         if t:
-            s, _, _ = R._featurize([t], R.Features())
-            assert len(R.weak_labels(t)) == s[-1] + 1
+            assert len(R.weak_labels(t)[0]) == R._featurize([t], R.Vocabulary())[0][-1] + 1
+    assert len(R._featurize([], R.Vocabulary())[0]) == len(R._featurize([None, ""], R.Vocabulary())[0]) == 0
 
 
-@pytest.fixture(scope="module")
-def corpus(spark):
-    return spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+def test_threshold_separates_best():
+    scores, labels = np.array([5.0, 4, 3, 2, 1, 0, 0]), np.array([1, 1, 1, 1, 1, 0, 0], bool)
+    assert R.choose(scores, labels) == 0.5 and R.choose(scores, labels & (scores > 3)) == R.DEFAULT
 
 
-def test_classifier_holds_on_unseen_hosts(spark, corpus):
+def test_classifier_holds_on_unseen_hosts(spark, docs):
+    corpus = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = R.train(corpus)
-    assert model.figures["precision"] > 0.7 and model.figures["recall"] > 0.8 and model.figures["documents_recall"] > 0.97
-    found = {r[0] for r in R.residue(corpus, model).collect()}
-    exact = {r["doc_id"] for r in corpus.collect() if r["text"] and R.is_residue(r["text"])}
-    assert found <= exact and len(found) >= 0.97 * len(exact)
+    assert model.figures["precision"] >= 0.95 and model.figures["recall"] >= 0.9 and model.figures["test_labelled_documents"] > 20
+    got, read = {r[0] for r in R.residue(corpus, model).collect()}, set(docs["doc_id"][docs["read"]])
+    assert len(got & read) >= 0.97 * len(read) and len(got - read) <= 0.02 * len(read)
 
 
-def test_small_tables_and_odd_rows(spark):
+def test_small_tables_and_odd_rows(spark, model):
     schema = "doc_id int, text string, source string, key int, host string, label string"
     rows = [(i, t, None, 1, "h", "l") for i, t in enumerate([*YES, *NO, None, ACT * 2000 + " {{frist}}"])]
     df = spark.createDataFrame(rows + rows[:3], schema)
-    found = sorted(r[0] for r in R.residue(df).collect())
-    want = [*range(len(YES)), len(rows) - 1]
-    assert sorted(set(found)) == want and len(found) == len(want) + 3
+    got = sorted(r[0] for r in R.residue(df, model).collect())
+    want = found(model, [t for _, t, *_ in rows])
+    assert sorted(set(got)) == [i for i, x in enumerate(want) if x] and len(got) == want.sum() + want[:3].sum() and want[-1]
     assert R.residue(df.limit(0)).count() == 0
+    assert {r[0] for r in R.residue(df).collect()} <= set(range(len(rows)))  # a model of so few rows still answers
 
 
 LONG = [
@@ -71,43 +128,24 @@ LONG = [
 
 
 @pytest.mark.parametrize("text", LONG)
-def test_long_slots_and_notices_are_read(text):
-    assert R.is_residue(text)
+def test_labels_read_long_slots_and_notices(text):
+    assert any(R.readings(text))
 
 
 def test_long_true_text_is_not():
-    assert not R.is_residue(f"{ACT} {{a, b, c}} " * 200 + "Seite nicht gefunden") and not R.is_residue(f"{ACT} [Fassung gemäss Beschluss vom 3. Mai. Die übrigen Bestimmungen lauten wie folgt] {ACT}")
+    assert not any(R.readings(f"{ACT} {{a, b, c}} " * 200 + "Seite nicht gefunden")) and not any(R.readings(f"{ACT} [Fassung gemäss Beschluss vom 3. Mai. Die übrigen Bestimmungen lauten wie folgt] {ACT}"))
 
 
 @pytest.mark.parametrize("part", ["{{", "<<", "[", "[bitte ", "[insert ", "insert ", "____ (a ", "{% "])
 def test_long_texts_are_read_in_linear_time(part):
     began = time.process_time()
-    R.is_residue("[" + part * 30_000)
+    R.readings("[" + part * 30_000)
     assert time.process_time() - began < 5
 
 
-def test_wordings_left_out_of_the_labels_come_out_by_score(monkeypatch):
-    import re
-
-    import numpy as np
-    import pandas as pd
-
-    docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").dropna(subset="text").reset_index(drop=True)
-    docs = docs.assign(key=np.arange(len(docs)), host=docs["source"].fillna("").map(lambda x: sum(map(ord, x)) % 10))
-    full = np.array([R.is_residue(t) for t in docs["text"]])
-    left = [p for i, p in enumerate(R.NOTICES) if i % 4 != 3]
-    monkeypatch.setattr(R, "_FILLER", [f" {R._plain(p)} " for i, p in enumerate(R.FILLER) if i % 4 != 3])
-    monkeypatch.setattr(R, "_NOTICE", re.compile(rf"(?<!\S)(?:{R._any(left)}|{R._SCRIPT}|{R._CODES})(?!\S)"))
-    lost = full & ~np.array([R.is_residue(t) for t in docs["text"]])
-    model = R.fit(pd.concat(R._labelled(iter([docs]))).reset_index(drop=True))
-    model = R.calibrate(model, pd.concat(R._refused(iter([docs[docs["host"].isin(R.HELD_OUT)]]), model)))
-    found = np.isin(docs["doc_id"], pd.concat(R._find(iter([docs]), model))["doc_id"])
-    assert lost.sum() > 5 and (found & lost).sum() >= 0.7 * lost.sum() and (found & ~full).sum() <= 0.01 * full.sum()
+def test_long_notices_and_slots_come_out_by_score(model):
+    assert found(model, ["HTTP Status 500. " + "Zugriff verweigert. " * 400, f"{ACT * 300} {{{{ gesetz.titel_in_der_gewaehlten_sprache_oder_deutsch_und_noch_viel_laenger_als_sechzig_zeichen }}}} {ACT * 300}"]).all()
 
 
 def test_repeated_word_below_a_heading_is_filler():
-    assert R.is_residue("Merkblatt der Anstalt Tramar\n" + "test Test " * 20)
-
-
-def test_short_true_texts_and_acts_with_notices_are_spared():
-    assert all(R.is_spared(R._plain(t)) for t in ("Betrifft nur den italienischen Text.", "Aufgehoben.", f"{ACT} JavaScript ist ausgeschaltet. {ACT}")) and not R.is_spared(R._plain("Der Server antwortet nicht."))
+    assert R.readings("Merkblatt der Anstalt Tramar\n" + "test Test " * 20)[0]
