@@ -1,10 +1,11 @@
 """Evaluation texts that leak into a corpus, found by greedy string tiling.
 
 Documents and test items share seeds: runs of ``SEED_WORDS`` words. A join of the seeds gives pairs
-of a document and an item that share enough of them near one diagonal. Each pair's texts are tiled
-greedily: the longest common run outside earlier tiles is marked again and again, found with
-running Karp-Rabin hashes. The tiles' coverage of the item decides; tiles may stand in any order,
-but a passage counts if it reads on, with at most one in ``EDIT_RATE`` words changed.
+of a document and an item that share enough of them. The parts of the document around a pair's seeds
+are tiled together: the longest common run outside earlier tiles is marked again and again, found
+with running Karp-Rabin hashes. Two thresholds on what the tiles cover of the item decide: its longest
+passage that reads on, with at most one in ``EDIT_RATE`` words changed, and the share of its words
+that stand in tiles in any order, which catches reordered passages.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ MIN_WORDS, EDIT_RATE = 40, 15
 MIN_TILE, MAX_GAP = 3, 24
 #: Items with more seeds than this (16 MB) are not broadcast to filter the documents' seeds.
 MAX_BROADCAST_SEEDS = 2_000_000
-#: Width of a band of diagonals; bands overlap by half.
+#: Width of a band of diagonals: two neighbouring cells.
 BAND = 32
+#: Reordered passages: at least this share of the item's words stands in tiles of so many words; blocks of BLOCK words or more are found.
+COVERED, COVER_TILE, BLOCK = 0.5, 8, 12
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = re.compile(r"[^\x00-\x7f\u0300-\u036f]")
@@ -67,7 +70,7 @@ class WordCodes(dict):
     """64-bit codes of words. A hyphen doesn't count; the cache is emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         code = xxhash.xxh64_intdigest(word.replace(b"-", b"")) | 1
         self[word] = code
@@ -119,8 +122,8 @@ class Known:
         return maybe[self.sorted[at] == hashes[maybe]]
 
 
-def _doc_seeds(batches: Iterator[pd.DataFrame], seeds: np.ndarray | None) -> Iterator[pd.DataFrame]:
-    """Documents with enough seeds close together: their words' codes and their seeds."""
+def _doc_seeds(batches: Iterator[pd.DataFrame], seeds: np.ndarray | None, scattered: bool) -> Iterator[pd.DataFrame]:
+    """Documents with enough seeds, close together unless they may be ``scattered``: their words' codes and their seeds."""
     cache, known = WordCodes(), Known(seeds) if seeds is not None else None
     for pdf in in_slices(batches):
         codes, starts = _codes(pdf["text"], cache)
@@ -132,7 +135,7 @@ def _doc_seeds(batches: Iterator[pd.DataFrame], seeds: np.ndarray | None) -> Ite
         k = MIN_SEEDS - 1
         near = np.zeros(len(hit), bool)
         if len(hit) > k:
-            near[: len(hit) - k] = (hit[k:] - hit[:-k] < SEED_SPAN) & (doc[k:] == doc[:-k])
+            near[: len(hit) - k] = (scattered | (hit[k:] - hit[:-k] < SEED_SPAN)) & (doc[k:] == doc[:-k])
         out = []
         bounds = np.searchsorted(doc, np.arange(len(pdf) + 1))
         ids = pdf["doc_id"].to_numpy()
@@ -215,12 +218,17 @@ def _edits(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def longest_passage(item: np.ndarray, weights: np.ndarray, doc: np.ndarray) -> int:
-    """Words of the longest run of the item that the document holds with at most one in EDIT_RATE changed.
+    """Words of the longest run of the item that the document holds with at most one in EDIT_RATE changed."""
+    return passage_of(tiles(item, doc), item, weights, doc)
+
+
+def passage_of(found: list[tuple[int, int, int]], item: np.ndarray, weights: np.ndarray, doc: np.ndarray) -> int:
+    """:func:`longest_passage` from the tiles.
 
     Tiles that follow each other in both texts are chained; what lies between two of them counts as
     changed words. Changed words at either end count as long as the rate allows.
     """
-    parts = sorted(tiles(item, doc))
+    parts = sorted(found)
     at = np.concatenate([[0], np.cumsum(weights)])
     best = 0
     for s, (i0, _, n0) in enumerate(parts):
@@ -245,15 +253,22 @@ def longest_passage(item: np.ndarray, weights: np.ndarray, doc: np.ndarray) -> i
     return best
 
 
-def _dense(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> bool:
+def least_tokens(weights: np.ndarray) -> int:
+    """The fewest tokens of the item, of which some stand for several words, that make MIN_WORDS; one more than it has if none do."""
+    at = np.concatenate([[0], np.cumsum(weights)])
+    ends = np.searchsorted(at, at + MIN_WORDS)
+    return int((ends - np.arange(len(at)))[ends < len(at)].min(initial=len(at)))
+
+
+def _dense(item: np.ndarray, weights: np.ndarray, doc: np.ndarray, low: int, high: int) -> bool:
     """Whether some passage could stand near the diagonals low to high: a bound that is quick to take.
 
-    A passage holds a stretch of its words, a few less than MIN_WORDS as hyphens join some, that has
-    3 changed ones at most; its words are equal on diagonals that differ by as much.
+    A passage holds a stretch of MIN_WORDS words that has 3 changed ones at most; its words are
+    equal on diagonals that differ by as much.
     """
-    size = MIN_WORDS - 4
-    if len(item) < size:
-        return len(item) + 4 >= MIN_WORDS
+    size = least_tokens(weights)
+    if size > len(item):
+        return False
     slack = MIN_WORDS // EDIT_RATE + 2
     first = low - slack
     same = np.zeros((high - low + 2 * slack + 1, len(item)), np.int32)
@@ -270,51 +285,102 @@ def _dense(item: np.ndarray, doc: np.ndarray, low: int, high: int) -> bool:
     return int(window.max()) >= size - MIN_WORDS // EDIT_RATE - 1
 
 
-def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        keep = np.zeros(len(pdf), bool)
-        for r, (item, weights, doc, low, high) in enumerate(zip(pdf["item_words"], pdf["weights"], pdf["doc_words"], pdf["low"], pdf["high"], strict=True)):
-            if _dense(item, doc, low, high):
-                keep[r] = longest_passage(item.view(np.uint64), weights, doc.view(np.uint64)) >= MIN_WORDS
-        yield pdf.loc[keep, ["doc_id", "item_id"]]
+def _regions(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans merged where they overlap."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
-def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id) of documents that hold a passage of an item, fully or nearly word for word.
-
-    A passage is at least MIN_WORDS successive words of the item of which at most one in EDIT_RATE
-    is replaced, left out or added; letter case, accents, umlauts however written, punctuation,
-    superscript paragraph marks, blanks and line breaks don't count. ``docs`` has (doc_id, text),
-    ``items`` (item_id, text); other columns are ignored. Null or blank texts and texts that are
-    too short give no row; each copy of a document counts; a passage shared by two items counts for
-    both. Repeated ids count once. Empty tables give no rows.
+def _judge(batches: Iterator[pd.DataFrame], reordered: bool) -> Iterator[pd.DataFrame]:
+    """The longest passage and the covered words of each pair of which a bound says that either may reach its threshold."""
+    for pdf in batches:
+        out = []
+        for doc_id, item_id, item, weights, doc, start, cells in zip(pdf["doc_id"], pdf["item_id"], pdf["item_words"], pdf["weights"], pdf["doc_words"], pdf["start"], pdf["cells"], strict=True):
+            cells = [(c["cell"], c["n"], c["low"] - start, c["high"] - start) for c in cells]
+            near = [(a, b) for a, b in zip(cells, cells[1:] + [(None, 0, 0, 0)], strict=True)]
+            bands = [(a[2], b[3] if b[0] == a[0] + 1 else a[3]) for a, b in near if a[1] + (b[1] if b[0] == a[0] + 1 else 0) >= MIN_SEEDS]
+            spread = reordered and sum(c[1] for c in cells) >= _spread_seeds(len(item))
+            if not spread and not any(_dense(item, weights, doc, low, high) for low, high in bands):
+                continue
+            spans = [(max(0, low - BAND), min(len(doc), high + len(item) + BAND)) for _, _, low, high in cells]
+            # regions lie apart, with a word of no text between two: no tile or gap of a passage leads across
+            apart = np.zeros(MAX_GAP + 1, np.uint64)
+            text = np.concatenate([x for a, b in _regions(spans) for x in (doc[a:b].view(np.uint64), apart)])
+            found = tiles(item.view(np.uint64), text)
+            covered = np.zeros(len(item), bool)
+            for i, _, n in found:
+                covered[i : i + n] |= n >= COVER_TILE
+            total = int(weights.sum())
+            out.append((doc_id, item_id, passage_of(found, item.view(np.uint64), weights, text), int(weights[covered].sum()), total))
+        yield pd.DataFrame(out, columns=["doc_id", "item_id", "passage_words", "covered_words", "item_words"])
+
+
+def _spread_seeds(words: int) -> int:
+    """Seeds that an item of so many words shares at least if COVERED of it stands in blocks of BLOCK words."""
+    return max(MIN_SEEDS, int(COVERED * words / BLOCK) * (BLOCK - SEED_WORDS + 1))
+
+
+def tiled_pairs(docs: DataFrame, items: DataFrame, reordered: bool = True) -> DataFrame:
+    """(doc_id, item_id, passage_words, covered_words, item_words) of documents and items that may share a passage.
+
+    ``passage_words`` is the longest passage of successive words of the item, with at most one in
+    EDIT_RATE replaced, left out or added; ``covered_words`` are the item's words in tiles of
+    COVER_TILE words or more, in any order. Pairs of which a bound says that the passage stays below
+    MIN_WORDS and, if ``reordered``, the cover below COVERED in blocks of BLOCK words, are left out.
+    Letter case, accents, umlauts however written, punctuation, superscript paragraph marks, blanks
+    and line breaks don't count. ``docs`` has (doc_id, text), ``items`` (item_id, text); other
+    columns are ignored. Null or blank texts and texts that are too short give no row; each copy of
+    a document counts. Repeated ids count once, by their best. Empty tables give no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = items.schema["item_id"].dataType.simpleString()
+    result = f"doc_id {kind}, item_id {item_kind}, passage_words int, covered_words int, item_words int"
     texts = items.where("text is not null and item_id is not null").select("item_id", "text").mapInPandas(_item_words, f"item_id {item_kind}, words array<long>, weights array<int>, seeds array<long>")
     texts = materialize(texts.dropDuplicates(["item_id", "seeds", "words"]))
     item_seeds = texts.select("item_id", F.posexplode("seeds").alias("item_at", "seed"))
     n_seeds = texts.agg(F.coalesce(F.sum(F.size("seeds")), F.lit(0))).head()[0]
     if n_seeds == 0:
-        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {item_kind}")
+        return docs.sparkSession.createDataFrame([], result)
     shared = None
     if n_seeds <= MAX_BROADCAST_SEEDS:
         distinct = [r[0] for r in item_seeds.select("seed").distinct().toLocalIterator()]
         shared = docs.sparkSession.sparkContext.broadcast(np.array(distinct, np.int64).view(np.uint64))
-    run = lambda it: _doc_seeds(it, shared.value if shared else None)
+    run = lambda it: _doc_seeds(it, shared.value if shared else None, reordered)
     rows = docs.where("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, words array<long>, seeds array<long>, positions array<int>")
     rows = materialize(rows)
 
     doc_seeds = rows.select("doc_id", F.explode(F.arrays_zip("seeds", "positions")).alias("s")).select("doc_id", F.col("s.seeds").alias("seed"), F.col("s.positions").alias("doc_at"))
-    hits = doc_seeds.join(item_seeds, "seed").withColumn("shift", F.col("doc_at") - F.col("item_at"))
-    bands = F.explode(F.array(F.floor(F.col("shift") / BAND) * 2, F.floor((F.col("shift") + BAND // 2) / BAND) * 2 + 1))
-    pairs = hits.select("doc_id", "item_id", bands.alias("band"), "shift").groupBy("doc_id", "item_id", "band").agg(F.count(F.lit(1)).alias("n"), F.min("shift").alias("low"), F.max("shift").alias("high"))
-    pairs = pairs.where(F.col("n") >= MIN_SEEDS).select("doc_id", "item_id", "low", "high").distinct()
+    # few seeds of items: joined where the documents' seeds are, so that no stock phrase becomes a hot key of a shuffle
+    hits = doc_seeds.join(F.broadcast(item_seeds) if shared else item_seeds, "seed").withColumn("shift", F.col("doc_at") - F.col("item_at"))
+    cells = hits.groupBy("doc_id", "item_id", F.floor(F.col("shift") / (BAND // 2)).cast("int").alias("cell")).agg(F.count(F.lit(1)).cast("int").alias("n"), F.min("shift").alias("low"), F.max("shift").alias("high"))
+    pairs = cells.groupBy("doc_id", "item_id").agg(F.array_sort(F.collect_list(F.struct("cell", "n", "low", "high"))).alias("cells"))
+    enough = F.aggregate("cells", F.lit(0), lambda n, c: n + c["n"]) >= MIN_SEEDS
+    if not reordered:
+        two = F.zip_with("cells", F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), lambda a, b: a["n"] + F.when(b["cell"] == a["cell"] + 1, b["n"]).otherwise(0))
+        enough = enough & F.exists(two, lambda n: n >= MIN_SEEDS)
+    pairs = pairs.where(enough)
     known_words = texts.select("item_id", F.col("words").alias("item_words"), "weights")
-    start = F.greatest(F.col("low") - BAND, F.lit(0))
-    length = F.greatest(F.col("high") + F.size("item_words") + BAND - start, F.lit(0))
-    cut = pairs.join(rows.select("doc_id", F.col("words")), "doc_id").join(known_words, "item_id").select(
-        "doc_id", "item_id", (F.col("low") - start).alias("low"), (F.col("high") - start).alias("high"), "item_words", "weights",
-        F.slice("words", start + 1, length).alias("doc_words"),
-    )
-    return cut.mapInPandas(_judge, f"doc_id {kind}, item_id {item_kind}").distinct()
+    if shared:
+        known_words = F.broadcast(known_words)
+    start = F.greatest(F.array_min(F.transform("cells", lambda c: c["low"])) - BAND, F.lit(0))
+    length = F.greatest(F.array_max(F.transform("cells", lambda c: c["high"])) + F.size("item_words") + BAND - start, F.lit(0))
+    cut = pairs.join(rows.select("doc_id", "words"), "doc_id").join(known_words, "item_id").select("doc_id", "item_id", "item_words", "weights", F.slice("words", start + 1, length).alias("doc_words"), start.alias("start"), "cells")
+    told = cut.mapInPandas(lambda it: _judge(it, reordered), result)
+    return told.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("passage_words", "covered_words", "item_words")])
+
+
+def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of documents that hold a passage of MIN_WORDS words of an item, fully or nearly word for word; see :func:`tiled_pairs`."""
+    return tiled_pairs(docs, items, reordered=False).where(F.col("passage_words") >= MIN_WORDS).select("doc_id", "item_id")
+
+
+def covered_items(docs: DataFrame, items: DataFrame, share: float = COVERED) -> DataFrame:
+    """Pairs with a passage of MIN_WORDS words, or with at least ``share`` of the item's words in tiles in any order, and their cover."""
+    pairs = tiled_pairs(docs, items)
+    cover = F.col("covered_words") / F.col("item_words")
+    return pairs.withColumn("coverage", cover).where((F.col("passage_words") >= MIN_WORDS) | ((F.col("coverage") >= share) & (F.col("covered_words") >= MIN_WORDS)))

@@ -134,3 +134,30 @@ def test_very_long_document_and_reordered_halves(spark):
     ddf = spark.createDataFrame([(1, long), (2, halves), (3, " ".join(item[:30] + words(r, 50) + item[30:60]))], "doc_id long, text string")
     idf = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     assert {tuple(x) for x in leaked_items(ddf, idf).collect()} == {(1, 7), (2, 7)}
+
+
+def test_reordered_passages_are_covered(spark):
+    """Items cut into shuffled blocks of 12 words: none reads on for 40 words, yet the tiles cover them."""
+    r = random.Random(5)
+    items = {i: words(r, 60) for i in range(40)}
+    docs = {}
+    for i, item in items.items():
+        blocks = [item[k : k + 12] for k in range(0, 60, 12)]
+        order = [2, 4, 1, 3, 0] if i % 2 else [3, 0, 2, 4, 1]
+        gap = lambda: words(r, 30) if i % 3 == 0 else []
+        docs[i] = words(r, 40) + [w for k in order for w in blocks[k] + gap()] + words(r, 40)
+    docs[100] = words(r, 300) + items[0][:24] + words(r, 50)  # little of an item
+    ddf = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")
+    idf = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x for x in L.covered_items(ddf, idf).collect()}
+    assert set(got) <= {(i, i) for i in items} and len(got) >= 0.9 * len(items)
+    assert all(x["passage_words"] < L.MIN_WORDS and x["coverage"] > 0.9 for x in got.values())
+    assert leaked_items(ddf, idf).count() == 0
+
+
+def test_bound_follows_the_items_own_words():
+    assert L.least_tokens(np.ones(60, int)) == 40 and L.least_tokens(np.full(60, 2)) == 20 and L.least_tokens(np.ones(39, int)) == 40
+    r = random.Random(9)
+    item = [f"{a}-{b}".encode() for a, b in zip(words(r, 20), words(r, 20))]
+    w = np.array([2] * 20)
+    assert longest_passage(codes(item), w, codes(item)) == 40 and L._dense(codes(item).view(np.int64), w, codes(item).view(np.int64), 0, 0)

@@ -31,13 +31,18 @@ def docs():
     return docs.assign(read=[any(R.readings(t)) for t in docs["text"]])
 
 
-def learn(docs):
-    return R.fit(pd.concat(R._labelled(iter([docs])), ignore_index=True))
+def label(docs):
+    return pd.concat(R._labelled(iter([docs])), ignore_index=True)
 
 
 @pytest.fixture(scope="module")
-def model(docs):
-    return learn(docs)
+def rows(docs):
+    return label(docs)
+
+
+@pytest.fixture(scope="module")
+def model(rows):
+    return R.fit(rows)
 
 
 def found(model, texts):
@@ -68,9 +73,10 @@ def test_wordings_that_no_label_names_come_out(model):
     assert found(model, unlisted).all()
 
 
-def test_withheld_wordings_and_unseen_hosts(monkeypatch, docs):
+def test_withheld_wordings_and_unseen_hosts(monkeypatch, docs, rows):
     """Every fourth wording is withheld from labels and seeds, in turn; the documents that then no label knows come out."""
     read, lost_all, found_all = docs["read"].to_numpy(), 0, 0
+    named = docs["key"].isin(rows["key"][rows["kind"] != R.PLAIN]) | read  # without a wording the labels stay
     for k in range(4):
         filler, notices = ([p for i, p in enumerate(x) if i % 4 != k] for x in (R.FILLER, R.NOTICES))
         with monkeypatch.context() as m:
@@ -78,8 +84,9 @@ def test_withheld_wordings_and_unseen_hosts(monkeypatch, docs):
             m.setattr(R, "NOTICES", notices)
             m.setattr(R, "_FILLER", [f" {R._plain(p)} " for p in filler])
             m.setattr(R, "_NOTICE", re.compile(rf"(?<!\S)(?:{R._any(notices)}|{R._SCRIPT}|{R._CODES})(?!\S)"))
-            lost = read & ~np.array([any(R.readings(t)) for t in docs["text"]])
-            hit = found(learn(docs), docs["text"])
+            lost = read & ~np.array([read[i] and any(R.readings(t)) for i, t in enumerate(docs["text"])])
+            again = R.fit(pd.concat([rows[~rows["key"].isin(docs["key"][named])], label(docs[named])], ignore_index=True))
+            hit = found(again, docs["text"])
         assert (hit & ~read).sum() <= 0.02 * read.sum() and (hit & read).sum() >= 0.97 * read.sum()
         lost_all, found_all = lost_all + lost.sum(), found_all + (hit & lost).sum()
     assert lost_all > 20 and found_all >= 0.9 * lost_all
