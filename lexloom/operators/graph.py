@@ -44,19 +44,27 @@ def edges_by_key(parents: DataFrame, parent_key: str, children: DataFrame, child
     return c.join(p, "src").select("src", "dst", F.lit(kind).alias("type"))
 
 
+#: Nodes of a frontier that is sent to the edges; larger ones meet them by a shuffle.
+MAX_FRONTIER = 200_000
+
+
 def traverse(seeds: DataFrame, edges: DataFrame, depth: int, types: Sequence[str] | None = None) -> DataFrame:
     """(seed, node, length): nodes within ``depth`` undirected steps of each seed, by the shortest way.
 
-    Each step joins the last frontier with the edges in both directions and drops what is already
-    reached, so that hubs are left once. Cut after every step, plans stay short.
+    Each step joins the last frontier with the edges from both ends and drops what is already
+    reached, so that hubs are left once. A frontier that is counted to be small is broadcast, so the
+    edges are neither shuffled nor kept; a larger one is joined by a shuffle whose hubs the adaptive
+    skew join splits. Edges are read once a step: keep them if they are costly to derive. Cut after
+    every step, plans stay short.
     """
     used = edges if types is None else edges.where(F.col("type").isin(*types))
-    ways = used.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(used.select(F.col("dst"), F.col("src"))).where("a is not null and b is not null").distinct()
-    ways = materialize(ways)
-    reached = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("length")).distinct()
-    frontier = reached
+    both = F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"))))
+    ways = used.where("src is not null and dst is not null").select(both.alias("w")).select("w.a", "w.b")
+    reached = frontier = materialize(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("length")).distinct())
     for step in range(1, depth + 1):
-        found = frontier.join(ways, frontier["node"] == ways["a"]).select("seed", F.col("b").alias("node")).distinct()
+        small = frontier.count() <= MAX_FRONTIER
+        from_here = frontier.select("seed", F.col("node").alias("a"))
+        found = ways.join(F.broadcast(from_here) if small else from_here, "a").select("seed", F.col("b").alias("node")).distinct()
         frontier = materialize(found.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("length", F.lit(step)))
         reached = reached.unionByName(frontier)
     return reached.where("length > 0")

@@ -7,7 +7,7 @@ cut short, and nodes with one schema path form one table.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,14 +41,14 @@ def _has_uri(value) -> bool:
     return isinstance(value, dict) and isinstance(value.get("uri"), str) and not isinstance(value["uri"], _Number) and value["uri"] != ""
 
 
-def dewey_nodes(document) -> Iterator[tuple]:
+def dewey_nodes(document, paths: bool = True) -> Iterator[tuple]:
     """(label, path, name, kind, text, anchor, section, entry) of the nodes of one parsed record.
 
     ``label`` joins the ordinals with dots, ``path`` the keys with slashes ('[]' for list members).
     ``kind`` is object, array or value. ``anchor`` is the length of the label of the nearest
     enclosing object with a ``uri`` (-1: none), ``section`` and ``entry`` are the two keys below it.
     The text of an object is its uri. Without recursion, so depth is bounded by the parser only.
-    A member ``facets`` beside ``data`` hangs below ``data``.
+    A member ``facets`` beside ``data`` hangs below ``data``. Paths are empty unless asked for.
     """
     stack = [("0", "", "", document, -1, None, None, True)]
     while stack:
@@ -62,14 +62,14 @@ def dewey_nodes(document) -> Iterator[tuple]:
                 members = [(k, {**v, "facets": facets} if k == "data" and facets is not None and "facets" not in v else v) for k, v in members if k != "facets" or "facets" in value["data"]]
             for i, (k, v) in enumerate(members):
                 if subject:
-                    stack.append((f"{label}.{i}", f"{path}/{k}", k, v, len(label), k, None, False))
+                    stack.append((f"{label}.{i}", f"{path}/{k}" if paths else "", k, v, len(label), k, None, False))
                 else:
                     inner = entry if entry is not None else (k if section is not None else None)
-                    stack.append((f"{label}.{i}", f"{path}/{k}", k, v, anchor, section, inner, False))
+                    stack.append((f"{label}.{i}", f"{path}/{k}" if paths else "", k, v, anchor, section, inner, False))
         elif isinstance(value, list):
             yield label, path, name, "array", None, anchor, section, entry
             for i, v in enumerate(value):
-                stack.append((f"{label}.{i}", f"{path}[]", name, v, anchor, section, entry, is_doc))
+                stack.append((f"{label}.{i}", f"{path}[]" if paths else "", name, v, anchor, section, entry, is_doc))
         else:
             yield label, path, name, "value", None if value is None else _scalar(value), anchor, section, entry
 
@@ -124,22 +124,40 @@ def schema_tables(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(F.col("path").alias("table_name"), "kind").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("record_id").alias("n_records"))
 
 
-def subject_values(nodes: DataFrame, sections=("attributes", "references", "facets"), skip=("xml:lang",)) -> DataFrame:
-    """Distinct (record_id, subject_uri, section_name, entry_name, entry_value).
+def _values_of(document, sections: Sequence[str], skip: Sequence[str]) -> set[tuple]:
+    """Distinct (subject_uri, section, entry, value) of one record; a label cut to the anchor's length names the subject."""
+    uris, rows = {}, set()
+    for label, _, name, kind, text, anchor, section, entry in dewey_nodes(document, paths=False):
+        if kind == "object" and text is not None:
+            uris[label] = text
+        if text and anchor >= 0 and section in sections and entry is not None and entry not in skip and not (kind == "value" and name in skip):
+            rows.add((uris[label[:anchor]], section, entry, text))
+    return rows
+
+
+def subject_values(df: DataFrame, record_id: str, payload: str, sections: Sequence[str] = ("attributes", "references", "facets"), skip: Sequence[str] = ("xml:lang",)) -> DataFrame:
+    """Distinct (record_id, subject_uri, section_name, entry_name, entry_value) of records, in one walk and without a shuffle.
 
     A value belongs to the object whose label is its own cut to the anchor's length. An object with
     a uri is a value of the object around it and the subject of its own values. Null and '' give no
-    row; nor do the names in ``skip`` or values outside the sections.
+    row; nor do the names in ``skip`` or values outside the sections. ``df`` has one row per record;
+    repeated records give repeated rows. Records that are no valid JSON give none.
     """
-    values = nodes.where(
-        (F.col("anchor") >= 0)
-        & F.col("section").isin(*sections)
-        & F.col("entry").isNotNull()
-        & (F.col("text") != "")
-        & F.col("kind").isin("value", "object")
-        & ~((F.col("kind") == "value") & F.col("name").isin(*skip))
-        & ~F.col("entry").isin(*skip)
-    ).select("record_id", F.expr("left(label, anchor)").alias("label"), "section", "entry", "text")
-    subjects = nodes.where("kind = 'object' and text is not null").select("record_id", "label", F.col("text").alias("subject_uri"))
-    rows = values.distinct().join(subjects, ["record_id", "label"])
-    return rows.select("record_id", "subject_uri", F.col("section").alias("section_name"), F.col("entry").alias("entry_name"), F.col("text").alias("entry_value")).distinct()
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for rid, text in zip(pdf["rid"], pdf["payload"], strict=True):
+                try:
+                    rows.extend((rid, *row) for row in _values_of(parse_strict(text), sections, skip))
+                except (ValueError, RecursionError):
+                    continue
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
+
+    names = ["record_id", "subject_uri", "section_name", "entry_name", "entry_value"]
+    kind = df.schema[record_id].dataType.simpleString()
+    texts = df.where(F.col(payload).isNotNull() & F.col(record_id).isNotNull()).select(F.col(record_id).alias("rid"), F.col(payload).alias("payload"))
+    return texts.mapInPandas(run, f"record_id {kind}, subject_uri string, section_name string, entry_name string, entry_value string")

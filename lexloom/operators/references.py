@@ -86,41 +86,46 @@ def key_dictionary(*keys: DataFrame) -> DataFrame:
     return materialize(ordered.select("key", F.monotonically_increasing_id().alias("id")))
 
 
-def suspect_keys(pairs: DataFrame, parents: DataFrame) -> DataFrame:
-    """(key, period) of references whose key doesn't exist throughout the period, by bitmaps.
+def suspect_ids(pairs: DataFrame, parents: DataFrame) -> DataFrame:
+    """(id, period) of references whose key doesn't exist throughout the period, by bitmaps.
 
-    ``pairs`` has (key, period), ``parents`` (key, first_seen, deleted_at); a null ``first_seen``
+    ``pairs`` has (id, period), ``parents`` (id, first_seen, deleted_at); a null ``first_seen``
     means the key was always there.
     """
-    ids = key_dictionary(pairs.select("key"), parents.select("key"))
     always = F.lit(-1)
     events = F.array(
         F.struct(F.lit(_LOAD).alias("kind"), F.coalesce(month_number(F.col("first_seen")), always).alias("period")),
         F.struct(F.lit(_DROP).alias("kind"), month_number(F.col("deleted_at")).alias("period")),
     )
-    told = parents.select("key", F.explode(events).alias("e")).select("key", "e.kind", "e.period").where("period is not null")
-    rows = pairs.select("key", F.lit(_REF).alias("kind"), "period").unionByName(told).join(ids, "key")
+    told = parents.select("id", F.explode(events).alias("e")).select("id", "e.kind", "e.period").where("period is not null")
+    rows = pairs.distinct().select("id", F.lit(_REF).alias("kind"), "period").unionByName(told)
     spread = rows.select(F.shiftright("id", RANGE_BITS).alias("range"), "kind", "period", F.col("id").bitwiseAND((1 << RANGE_BITS) - 1).cast("int").alias("off"))
     bitmaps = spread.groupBy("range", "kind", "period").agg(F.collect_set("off").alias("bits")).mapInPandas(_pack, "range long, kind int, period int, bits binary")
-    left = bitmaps.groupBy("range").applyInPandas(_and_not, "id long, period int")
-    return left.join(ids, "id").select("key", "period")
+    return bitmaps.groupBy("range").applyInPandas(_and_not, "id long, period int")
 
 
 def failed_references(refs: DataFrame, parents: DataFrame, at: str) -> DataFrame:
-    """The rows of ``refs`` whose key fails at their own time, with ``reason``.
+    """The rows of ``refs`` whose key fails at their own time, with ``reason`` and the month number ``period``.
 
     ``refs`` has ``key``, the time ``at`` and any other columns, which are kept; ``parents`` has
     (key, first_seen, deleted_at), one row per key. ``reason`` is ``missing`` if the key is no
     parent, else ``deleted`` if deleted_at <= at, else ``late`` if first_seen > at. References with
     a null key or time are no cases; repeated rows stay repeated. No parents: all are missing.
+
+    Both tables are derived once and get their integers by one join on the key, the only one on
+    strings; a hot key in it is split by the adaptive skew join. Later joins are on integers: a hot
+    key's references spread over its periods, and pairs are distinct before they meet in a range.
     """
-    refs = refs.where(F.col("key").isNotNull() & F.col(at).isNotNull()).withColumn("period", month_number(F.col(at)))
-    parents = materialize(parents)  # read for the dictionary, the bitmaps and the exact times
-    suspects = suspect_keys(refs.select("key", "period").distinct(), parents)
-    known = suspects.join(parents.select("key", "first_seen", "deleted_at", F.lit(True).alias("known")), "key", "left")
-    reason = F.when(F.col("known").isNull(), "missing").when(F.col("deleted_at") <= F.col(at), "deleted").when(F.col("first_seen") > F.col(at), "late")
-    found = refs.join(known, ["key", "period"]).withColumn("reason", reason).where("reason is not null")
-    return found.drop("first_seen", "deleted_at", "known")
+    kept = [c for c in refs.columns if c not in ("key", "period")]
+    told = refs.where(F.col("key").isNotNull() & F.col(at).isNotNull()).select("key", month_number(F.col(at)).alias("period"), F.struct(*kept).alias("ref"))
+    known = parents.where("key is not null").select("key", "first_seen", "deleted_at", F.lit(True).alias("known"))
+    rows = materialize(told.unionByName(known, allowMissingColumns=True))
+    rows = materialize(rows.join(key_dictionary(rows.select("key")), "key"))
+    told, known = rows.where("known is null").select("id", "key", "period", "ref"), rows.where("known").select("id", "first_seen", "deleted_at", "known")
+    suspects = suspect_ids(told.select("id", "period"), known).join(known, "id", "left")
+    reason = F.when(F.col("known").isNull(), "missing").when(F.col("deleted_at") <= F.col(f"ref.{at}"), "deleted").when(F.col("first_seen") > F.col(f"ref.{at}"), "late")
+    found = told.join(suspects, ["id", "period"]).withColumn("reason", reason).where("reason is not null")
+    return found.select("key", *[F.col(f"ref.`{c}`").alias(c) for c in kept], "period", "reason")
 
 
 def orphan_report(cases: DataFrame, by: Sequence[str]) -> DataFrame:

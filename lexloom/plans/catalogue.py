@@ -72,16 +72,30 @@ def references(s: SparkSession, d: str) -> DataFrame:
     return raw.dropDuplicates(["ref_id"])
 
 
+def law_names(s: SparkSession, d: str) -> DataFrame:
+    """(name, target): every name of a law, its URI, number or abbreviation, with the law's URI; of several laws of one name the first."""
+    l = laws(s, d)
+    own = l.select(law_designation(F.col("sr_number")).alias("name"), F.col("law_uri").alias("target")).unionByName(l.select(F.col("law_uri").alias("name"), F.col("law_uri").alias("target")))
+    c = table(s, d, "code_articles").select(law_of_uri(canonical_uri(F.col("law_uri"))).alias("target"), F.explode(F.array(law_designation(F.col("sr_number")), law_designation(F.col("abbreviation")), law_of_uri(canonical_uri(F.col("law_uri"))))).alias("name"))
+    return own.unionByName(c.distinct()).where("name is not null and target is not null").groupBy("name").agg(F.min("target").alias("target"))
+
+
+def named_references(s: SparkSession, d: str) -> DataFrame:
+    """(src, name, n): which law refers to which name, and how often; counted before any join, so that a hot name meets as few rows as there are laws."""
+    raw = table(s, d, "html_references").select("ref_id", law_of_uri(canonical_uri(F.col("source_uri"))).alias("src"), law_designation(F.col("target_law")).alias("name"))
+    return raw.where("src is not null and name is not null").groupBy("src", "name").agg(F.count_distinct("ref_id").alias("n"))
+
+
 def law_references(s: SparkSession, d: str) -> DataFrame:
-    """Distinct REFERENCES edges between laws named by URI."""
-    r = references(s, d).withColumn("dst", law_designation(F.col("target_law"))).where("dst like 'https:%' and source_law is not null and source_law <> dst")
-    return r.select(F.col("source_law").alias("src"), "dst", F.lit("REFERENCES").alias("type")).distinct()
+    """Distinct REFERENCES edges between laws: targets named by number or abbreviation count by the law's URI; an unknown number or abbreviation is no node, an unknown URI is."""
+    r = named_references(s, d).join(law_names(s, d), "name", "left").withColumn("dst", F.coalesce("target", F.when(F.col("name").startswith("https:"), F.col("name"))))
+    return r.where("dst is not null and src <> dst").select("src", "dst", F.lit("REFERENCES").alias("type")).distinct()
 
 
-def law_edges(s: SparkSession, d: str) -> DataFrame:
+def law_edges(s: SparkSession, d: str, refs: DataFrame | None = None) -> DataFrame:
     v = versions(s, d).select(F.col("law_uri").alias("src"), F.col("uri").alias("dst"), F.lit("HAS_VERSION").alias("type"))
     l = variants(s, d).select(F.col("law_uri").alias("src"), F.col("uri").alias("dst"), F.lit("HAS_LANGUAGE").alias("type")).where("src is not null")
-    return v.unionByName(l).unionByName(law_references(s, d))
+    return v.unionByName(l).unionByName(refs or law_references(s, d))
 
 
 def _last(name: str, tab: str, key: str, cols: dict[str, str]) -> str:
@@ -96,7 +110,11 @@ ARTICLES = _last("a", "article_nodes", "uri", {"law_uri": _uri("law_uri"), "vari
 LEVELS = _last("t", "taxonomy_levels", "uri", {"parent_uri": _uri("parent_uri"), "level_type": "level_type", "number": "number", "level_name": "level_name", "title_de": "title_de", "title_fr": "title_fr", "title_it": "title_it", "law_uri": _uri("law_uri")})
 VARIANTS = _last("g", "law_language_variants", "uri", {"law_uri": _uri("law_uri"), "lang": "lang", "title": "title", "ast_path": "ast_path", "deleted_at": "deleted_at"})
 REFS = f"r as (select distinct on (ref_id) ref_id, {_law('source_uri')} as source_law, target_law, target_article, raw_text, lang, confidence, context_text, extracted_at, source_file from html_references)"
-LAWREFS = f"{REFS}, lr as (select distinct source_law as src, {_designation('target_law')} as dst, 'REFERENCES' as type from r where source_law is not null and {_designation('target_law')} like 'https:%' and source_law <> {_designation('target_law')})"
+LAWNAMES = f"""nl as (select {_designation('sr_number')} as name, law_uri as target from l union all select law_uri, law_uri from l
+    union all select {_designation('sr_number')}, {_law('law_uri')} from code_articles union all select {_designation('abbreviation')}, {_law('law_uri')} from code_articles union all select {_law('law_uri')}, {_law('law_uri')} from code_articles),
+  names as (select name, min(target) as target from nl where name is not null and target is not null group by 1)"""
+LAWREFS = f"""{LAWS}, {LAWNAMES}, {REFS}, rd as (select distinct source_law as src, {_designation('target_law')} as name from r where source_law is not null),
+  rr as (select src, coalesce(target, case when rd.name like 'https:%' then rd.name end) as dst from rd left join names using (name)), lr as (select distinct src, dst, 'REFERENCES' as type from rr where dst is not null and src <> dst)"""
 EDGES = f"{VERSIONS}, {VARIANTS}, {LAWREFS}, e as (select law_uri as src, uri as dst, 'HAS_VERSION' as type from v union all select law_uri, uri, 'HAS_LANGUAGE' from g where law_uri is not null union all select * from lr)"
 
 
@@ -373,6 +391,10 @@ def node_context(s, d):
     return t.select("uri", "parent_uri").join(kids, "uri", "left").select("uri", "parent_uri", F.coalesce("n", F.lit(0)).cast("long").alias("n_children"), "first_child")
 
 
+def _seeds(refs: DataFrame) -> DataFrame:
+    return refs.groupBy(F.col("src").alias("seed")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "seed").limit(5).select("seed")
+
+
 _SEEDS = f"seeds as (select src as seed from lr group by 1 order by count(*) desc, 1 limit 5)"
 
 
@@ -381,17 +403,15 @@ _SEEDS = f"seeds as (select src as seed from lr group by 1 order by count(*) des
 select seed, node, min(length) as length from b group by 1, 2 having min(length) > 0""")
 def traverse_laws(s, d):
     """Undirected traversal of two steps from the five laws with most references to others."""
-    refs = law_references(s, d)
-    seeds = refs.groupBy(F.col("src").alias("seed")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "seed").limit(5).select("seed")
-    return G.traverse(seeds, law_edges(s, d), 2)
+    refs = materialize(law_references(s, d))  # for the seeds and for each step
+    return G.traverse(_seeds(refs), law_edges(s, d, refs), 2)
 
 
 @query(f"""with recursive {LAWREFS}, {_SEEDS}, w as (select src as a, dst as b from lr union select dst, src from lr), b as (select seed, seed as node, 0 as length from seeds union select b.seed, w.b, b.length + 1 from b join w on b.node = w.a where b.length < 2)
 select seed, node, round(1.0 / (1 + min(length)), 6)::double as score from b group by 1, 2 having min(length) > 0""")
 def reference_neighbourhood(s, d):
-    refs = law_references(s, d)
-    seeds = refs.groupBy(F.col("src").alias("seed")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "seed").limit(5).select("seed")
-    return G.traverse(seeds, refs, 2, ["REFERENCES"]).select("seed", "node", F.round(1 / (1 + F.col("length")), 6).alias("score"))
+    refs = materialize(law_references(s, d))
+    return G.traverse(_seeds(refs), refs, 2, ["REFERENCES"]).select("seed", "node", F.round(1 / (1 + F.col("length")), 6).alias("score"))
 
 
 @query(f"""with {LAWREFS} select law, sum(o)::bigint as n_out, sum(i)::bigint as n_in from (select src as law, 1 as o, 0 as i from lr union all select dst, 0, 1 from lr) group by 1""")
@@ -511,7 +531,7 @@ def uniqueness_violations(s, d):
 
 # ---- aggregates ----
 
-@query(f"""with {EDGES}, {LAWS}, {ARTICLES}, {LEVELS} select 'Law' as label, count(*) as n from l union all select 'Version', count(*) from v union all select 'LawLanguageVariant', count(*) from g union all select 'Article', count(*) from a union all select 'TaxonomyLevel', count(*) from t
+@query(f"""with {EDGES}, {ARTICLES}, {LEVELS} select 'Law' as label, count(*) as n from l union all select 'Version', count(*) from v union all select 'LawLanguageVariant', count(*) from g union all select 'Article', count(*) from a union all select 'TaxonomyLevel', count(*) from t
 union all select type, count(*) from e group by type""")
 def label_counts(s, d):
     one = lambda df, label: df.agg(F.lit(label).alias("label"), F.count(F.lit(1)).alias("n"))
@@ -794,15 +814,16 @@ def contradicting_texts(s, d):
     return x.where("n_texts > 1")
 
 
-@query(f"""with {LAWS}, {REFS}, k as (select r.source_law, count(*) as n, count(*) filter (l.law_uri is null) as unknown, count(*) filter (regexp_extract(l.in_force_status, '(\\d)/?\\s*$', 1) = '3') as repealed, count(*) filter (context_text is null or context_text = '') as bare
-  from r left join l on {_designation('r.target_law')} = l.law_uri where source_law is not null and {_designation('r.target_law')} like 'https:%' group by 1)
+@query(f"""with {LAWS}, {LAWNAMES}, {REFS}, k as (select r.source_law, count(*) as n, count(*) filter (names.name is null) as unknown, count(*) filter (regexp_extract(l.in_force_status, '(\\d)/?\\s*$', 1) = '3') as repealed, count(*) filter (context_text is null or context_text = '') as bare
+  from r left join names on {_designation('r.target_law')} = names.name left join l on names.target = l.law_uri where source_law is not null and {_designation('r.target_law')} is not null group by 1)
 select source_law, n as n_refs, unknown, repealed, n < 2 as too_few, bare > 0.5 * n as mostly_bare, round(greatest(0, least(1, 1.0 - 0.2 * (unknown > 0)::int - 0.05 * repealed + least(0.02 * n, 0.1))), 6)::double as consistency from k""")
 def consistency(s, d):
-    """Per citing law: unknown and repealed targets, completeness and a consistency score."""
-    r = references(s, d).withColumn("target", law_designation(F.col("target_law"))).where("source_law is not null and target like 'https:%'")
-    l = laws(s, d).select(F.col("law_uri").alias("target"), status_digit(F.col("in_force_status")).alias("st"), F.lit(1).alias("known"))
-    n, repealed = F.count(F.lit(1)), F.count_if(F.col("st") == "3")
-    unknown = F.count_if(F.col("known").isNull())
+    """Per citing law: unknown and repealed targets, by whatever name they are called, completeness and a consistency score."""
     bare = F.count_if(F.col("context_text").isNull() | (F.col("context_text") == ""))
+    r = references(s, d).withColumn("name", law_designation(F.col("target_law"))).where("source_law is not null and name is not null").groupBy("source_law", "name").agg(F.count(F.lit(1)).alias("n"), bare.alias("bare"))
+    l = laws(s, d).select(F.col("law_uri").alias("target"), status_digit(F.col("in_force_status")).alias("st"))
+    j = r.join(law_names(s, d), "name", "left").join(l, "target", "left")
+    n, repealed = F.sum("n"), F.coalesce(F.sum(F.when(F.col("st") == "3", F.col("n"))), F.lit(0))
+    unknown = F.coalesce(F.sum(F.when(F.col("target").isNull(), F.col("n"))), F.lit(0))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - 0.2 * (unknown > 0).cast("int") - 0.05 * repealed + F.least(0.02 * n, F.lit(0.1))))
-    return r.join(l, "target", "left").groupBy("source_law").agg(n.alias("n_refs"), unknown.alias("unknown"), repealed.alias("repealed"), (n < 2).alias("too_few"), (bare > 0.5 * n).alias("mostly_bare"), F.round(score, 6).alias("consistency"))
+    return j.groupBy("source_law").agg(n.alias("n_refs"), unknown.alias("unknown"), repealed.alias("repealed"), (n < 2).alias("too_few"), (F.sum("bare") > 0.5 * n).alias("mostly_bare"), F.round(score, 6).alias("consistency"))

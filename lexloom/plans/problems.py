@@ -10,7 +10,7 @@ from lexloom.operators.dedup import latest_delivery
 from lexloom.operators.hierarchy import descendants, hierarchy
 from lexloom.operators.history import snapshot_changes, snapshot_history
 from lexloom.operators.intervals import LAST_DAY, covered_spans, day_number, day_string
-from lexloom.operators.nested import object_table, schema_tables, shred, subject_values
+from lexloom.operators.nested import object_table, schema_tables, shred, subject_values, value_table
 from lexloom.operators.references import failed_references, orphan_report
 from lexloom.session import table
 
@@ -65,6 +65,11 @@ def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All (ancestor, descendant) pairs with their distance."""
+    return descendants(hierarchy(law_tree_links(spark, sf_dir), "node_uri", "parent_uri", paths=True), "node_uri")
+
+
+def p2_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = hierarchy(law_tree_links(spark, sf_dir), "node_uri", "parent_uri", paths=True)
     return descendants(tree, "node_uri").groupBy(F.col("ancestor").alias("node_uri")).agg(F.count(F.lit(1)).alias("n_descendants"), F.max("distance").alias("height"))
 
@@ -87,10 +92,12 @@ def reference_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.groupBy(key).agg(F.min("loaded_at").alias("first_seen"), F.max(F.struct("loaded_at", "deleted_at"))["deleted_at"].alias("deleted_at"))
 
     never = F.lit(None).cast("timestamp_ntz")
-    names = laws.select("law", F.col("sr").alias("name")).unionByName(codes.select("law", F.explode(F.array("sr", "abbr")).alias("name"))).where("name is not null").distinct()
+    names = laws.select("law", F.col("sr").alias("name")).unionByName(codes.select("law", F.explode(F.array("sr", "abbr")).alias("name"))).where("name is not null")
+    names = names.groupBy("law").agg(F.collect_set("name").alias("names"))  # a law's few numbers and abbreviations
     law_times = times(laws, "law").unionByName(codes.select("law", never.alias("first_seen"), never.alias("deleted_at")).distinct())
     article_times = articles.groupBy("law", "number").agg(F.min("loaded_at").alias("first_seen")).unionByName(codes.where("number is not null").select("law", "number", never.alias("first_seen")))
-    named = lambda df: df.withColumn("name", F.col("law")).unionByName(df.join(names, "law"))
+    every = F.array_union(F.array("law"), F.coalesce("names", F.array().cast("array<string>")))
+    named = lambda df: df.join(names, "law", "left").withColumn("name", F.explode(every)).drop("names")
 
     keyed = (
         named(law_times).select(F.concat(F.lit("L|"), "name").alias("key"), "first_seen", "deleted_at")
@@ -147,24 +154,37 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- 5: nested records -------------------------------------------------------------------------
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_delivery(table(spark, sf_dir, "fedlex_json"), ["record_id"], "loaded_at", ["payload"])
+
+
+def record_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subject_values(records(spark, sf_dir), "record_id", "payload")
+
+
 def record_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = latest_delivery(table(spark, sf_dir, "fedlex_json"), ["record_id"], "loaded_at", ["payload"])
-    return shred(last, "record_id", "payload")
+    return shred(records(spark, sf_dir), "record_id", "payload")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subject_values(record_nodes(spark, sf_dir))
+    return record_values(spark, sf_dir)
 
 
 def p5_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return object_table(record_nodes(spark, sf_dir))
 
 
+def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of scalars, each with the label of what holds it and its schema path."""
+    return value_table(record_nodes(spark, sf_dir))
+
+
 def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables that the records fall into, one row each."""
     return schema_tables(record_nodes(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p2_found, p2_paths, p2_descendants, p3_found, p3_report, p4_found, p5_found, p5_objects, p5_tables)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_changes, p2_found, p2_paths, p2_descendants, p2_subtrees, p3_found, p3_report, p4_found, p5_found, p5_objects, p5_values, p5_tables)}
 
 
 # ---- equivalent SQL ----------------------------------------------------------------------------
@@ -228,7 +248,26 @@ _FAILED = rf"""
         union all select 'article_nodes', row_key, 'law_language_variant_uri', reason, t_ref from av),
   cases as (select source_table, row_key, ref_field, reason, strftime(t_ref, '%Y-%m') as period_month from f where reason is not null)"""
 
+# nodes of the records: objects with uri are subjects of what stands below them, facets beside data belong to it
+_SUBJECTS = """
+  r0 as (select record_id, payload, row_number() over (partition by record_id order by loaded_at desc, payload desc nulls last) as rn from fedlex_json),
+  n as (select record_id, payload::json as v, null::varchar as subject, null::varchar as section, null::varchar as entry, null::varchar as name, true as is_doc from r0 where rn = 1 and json_valid(payload)
+    union all select record_id, coalesce(m, v->c), subject, section, entry, name, is_doc from (
+      select record_id, v, case when json_type(v) = 'ARRAY' then '$[' || k || ']' else '$."' || k || '"' end as c,
+        case when json_type(v) = 'OBJECT' and is_doc and k = 'data' and json_type(v->'data') = 'OBJECT' and json_type(v->'facets') is not null and json_type(v->'data'->'facets') is null
+          then json_merge_patch(v->'data', json_object('facets', v->'facets')) end as m,
+        case when json_type(v) = 'ARRAY' then subject when own then v->>'uri' else subject end as subject, case when json_type(v) = 'OBJECT' and own then k else section end as section,
+        case when json_type(v) = 'ARRAY' then entry when own then null else coalesce(entry, case when section is not null then k end) end as entry, case when json_type(v) = 'ARRAY' then name else k end as name, json_type(v) = 'ARRAY' and is_doc as is_doc
+      from (select *, case when json_type(v) = 'ARRAY' then unnest(range(json_array_length(v)::bigint)::varchar[]) else unnest(json_keys(v)) end as k,
+          json_type(v) = 'OBJECT' and json_type(v->'uri') = 'VARCHAR' and v->>'uri' <> '' and not (is_doc and coalesce(json_type(v->'data') = 'OBJECT', false)) as own from n where json_type(v) in ('ARRAY', 'OBJECT'))
+      where not (json_type(v) = 'OBJECT' and is_doc and k = 'facets' and json_type(v->'data') = 'OBJECT' and json_type(v->'data'->'facets') is null))),
+  f as (select distinct record_id, subject as subject_uri, section as section_name, entry as entry_name,
+      case when json_type(v) = 'OBJECT' then case when json_type(v->'uri') = 'VARCHAR' then v->>'uri' end else v->>'$' end as entry_value
+    from n where subject is not null and section in ('attributes', 'references', 'facets') and entry is not null and entry <> 'xml:lang' and json_type(v) <> 'ARRAY' and (json_type(v) = 'OBJECT' or name <> 'xml:lang')),
+  x as (select * from f where entry_value is not null and entry_value <> '')"""
+
 ORACLES = {
+    "p5_found": f"with recursive {_SUBJECTS} select * from x",
     "p1_found": f"""with {_STATES},
   c as (select *, lag(snapshot_date) over w as before, lag(status) over w as s0, lag(date_applicable) over w as a0, lag(date_end) over w as e0 from s window w as (partition by law_uri order by snapshot_date)),
   e as (select * from c where before is null or status is distinct from s0 or date_applicable is distinct from a0 or date_end is distinct from e0)
@@ -243,6 +282,8 @@ select strftime(d, '%Y-%m-%d') as snapshot_date, change, count(*) as n_laws from
     "p2_found": f"with recursive {_LINKS} select n.node as node_uri, coalesce(t.root, '') as root_uri, coalesce(t.depth, -1)::bigint as node_depth from n left join t using (node)",
     "p2_paths": f"with recursive {_LINKS} select n.node as node_uri, coalesce(t.path, '') as node_path, t.node is null as cyclic from n left join t using (node)",
     "p2_descendants": f"""with recursive {_LINKS}, a as (select node, unnest(string_split(path, ' > ')[:-2]) as anc, unnest(generate_series(depth, 1, -1)) as dist from t where depth > 0)
+select anc as ancestor, node as descendant, dist::bigint as distance from a""",
+    "p2_subtrees": f"""with recursive {_LINKS}, a as (select node, unnest(string_split(path, ' > ')[:-2]) as anc, unnest(generate_series(depth, 1, -1)) as dist from t where depth > 0)
 select anc as node_uri, count(*) as n_descendants, max(dist)::bigint as height from a group by 1""",
     "p3_found": f"with {_FAILED} select * from cases",
     "p3_report": f"with {_FAILED} select source_table, ref_field, reason, period_month, count(*) as n_refs from cases group by all",

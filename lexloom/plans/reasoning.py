@@ -9,7 +9,6 @@ from lexloom.functions.uris import article_number, law_designation, status_digit
 from lexloom.operators import graph as G
 from lexloom.operators import rules as X
 from lexloom.operators.hierarchy import hierarchy
-from lexloom.operators.nested import subject_values
 from lexloom.plans import catalogue as C
 from lexloom.plans import problems as P
 from lexloom.plans.problems import _designation, _number
@@ -57,7 +56,7 @@ def rule_scores(s, d):
 _H = "case when sr like '101%' then 0.5 when sr like '210%' or sr like '220%' then 0.7 when sr is null then 1.0 else 0.9 end"
 
 
-@query(f"""with recursive {C.LAWREFS}, {C.LAWS}, {C._SEEDS}, w as (select src as a, dst as b from lr union select dst, src from lr),
+@query(f"""with recursive {C.LAWREFS}, {C._SEEDS}, w as (select src as a, dst as b from lr union select dst, src from lr),
   b as (select seed, seed as node, 0 as length from seeds union select b.seed, w.b, b.length + 1 from b join w on b.node = w.a where b.length < 2),
   p as (select node, min(length) as length from b where node <> seed group by 1), q as (select p.*, nullif(regexp_replace(regexp_replace(l.sr_number, '\\s+', '', 'g'), '^(?i)(SR|RS)', ''), '') as sr from p left join l on p.node = l.law_uri)
 select node, length, round(1.0 / (1 + length) * (2 - {_H}), 6)::double as path_score from q where length > 0""")
@@ -86,8 +85,8 @@ def formatted_citations(s, d):
     return c.select("law", "article", F.concat_ws(" ", F.concat(F.lit("Art. "), "article"), name).alias("citation"))
 
 
-_CONF = f"""{C.REFS}, {C.LAWS}, k as (select r.source_law, count(*) as n, avg((({_designation('target_law')} is not null)::int + ({_number('target_article')} is not null)::int) / 2.0) as filled,
-    count(*) filter (regexp_extract(l.in_force_status, '(\\d)/?\\s*$', 1) = '3') as repealed, count(distinct r.lang) as langs, avg(confidence) as conf from r left join l on {_designation('target_law')} = l.law_uri where source_law is not null group by 1),
+_CONF = f"""{C.REFS}, {C.LAWS}, {C.LAWNAMES}, k as (select r.source_law, count(*) as n, avg((({_designation('target_law')} is not null)::int + ({_number('target_article')} is not null)::int) / 2.0) as filled,
+    count(*) filter (regexp_extract(l.in_force_status, '(\\d)/?\\s*$', 1) = '3') as repealed, count(distinct r.lang) as langs, avg(confidence) as conf from r left join names on {_designation('target_law')} = names.name left join l on names.target = l.law_uri where source_law is not null group by 1),
   s as (select source_law, case when n < 2 then 0.5 else least(1.0, 0.5 + 0.1 * langs) end as agreement, 0.5 + 0.3 * filled as citation, greatest(0, 0.7 - 0.5 * repealed / n) as temporal, case when n < 3 then 0.4 when n > 10 then 0.7 else 0.5 end as coverage, conf from k)"""
 
 
@@ -99,7 +98,8 @@ def citing_confidence(s, d):
     l = C.laws(s, d).select(F.col("law_uri").alias("target"), status_digit(F.col("in_force_status")).alias("st"))
     n = F.count(F.lit(1))
     filled = F.avg((F.col("target").isNotNull().cast("int") + F.col("number").isNotNull().cast("int")) / 2)
-    k = r.join(l, "target", "left").groupBy("source_law").agg(n.alias("n"), filled.alias("filled"), F.count_if(F.col("st") == "3").alias("repealed"), F.countDistinct("lang").alias("langs"), F.avg("confidence").alias("conf"))
+    names = C.law_names(s, d).select(F.col("name").alias("target"), F.col("target").alias("law"))
+    k = r.join(names, "target", "left").join(l.withColumnRenamed("target", "law"), "law", "left").groupBy("source_law").agg(n.alias("n"), filled.alias("filled"), F.count_if(F.col("st") == "3").alias("repealed"), F.countDistinct("lang").alias("langs"), F.avg("confidence").alias("conf"))
     agreement = F.when(F.col("n") < 2, 0.5).otherwise(F.least(F.lit(1.0), 0.5 + 0.1 * F.col("langs")))
     temporal = F.greatest(F.lit(0.0), 0.7 - 0.5 * F.col("repealed") / F.col("n"))
     covered = F.when(F.col("n") < 3, 0.4).when(F.col("n") > 10, 0.7).otherwise(0.5)
@@ -154,7 +154,7 @@ _EDGE_TYPES = {"isRealizedBy": "EXPRESSED_IN", "isEmbodiedBy": "MANIFESTED_AS",
 @query()
 def json_edges(s, d):
     """Typed edges between the subjects of the linked-data records; HAS_VERSION points from law to version."""
-    v = subject_values(P.record_nodes(s, d)).where(F.col("entry_name").isin(*_EDGE_TYPES))
+    v = P.record_values(s, d).where(F.col("entry_name").isin(*_EDGE_TYPES))
     kinds = F.create_map(*[F.lit(x) for pair in _EDGE_TYPES.items() for x in pair])
     turned = F.col("entry_name") == "isMemberOf"
     return v.select(F.when(turned, F.col("entry_value")).otherwise(F.col("subject_uri")).alias("src"), F.when(turned, F.col("subject_uri")).otherwise(F.col("entry_value")).alias("dst"), F.try_element_at(kinds, F.col("entry_name")).alias("type")).distinct()
@@ -163,7 +163,7 @@ def json_edges(s, d):
 @query()
 def json_laws(s, d):
     """One row per subject with its dates, status and titles as columns."""
-    v = subject_values(P.record_nodes(s, d))
+    v = P.record_values(s, d)
     names = ["dateDocument", "dateEntryInForce", "dateNoLongerInForce", "dateApplicability", "dateEndApplicability", "inForceStatus", "typeDocument", "title", "titleShort"]
     return v.groupBy("subject_uri").agg(*[F.min(F.when(F.col("entry_name") == n, F.col("entry_value"))).alias(n) for n in names], F.countDistinct("record_id").alias("n_records"))
 

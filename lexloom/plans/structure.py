@@ -117,7 +117,7 @@ def ranked_citations(s, d):
 _RANK = "case when sr like '101%' then 1 when sr like '210%' or sr like '220%' then 2 when sr like '235%' then 3 else 4 end"
 
 
-@query(f"""with {C.LAWREFS}, {C.LAWS}, {C.VERSIONS}, st as (select law_uri, max(start) as newest from v group by 1), f as (select l.law_uri, coalesce({_SR}, '') as sr, coalesce(newest, timestamp '0001-01-01') as newest from l left join st using (law_uri)),
+@query(f"""with {C.LAWREFS}, {C.VERSIONS}, st as (select law_uri, max(start) as newest from v group by 1), f as (select l.law_uri, coalesce({_SR}, '') as sr, coalesce(newest, timestamp '0001-01-01') as newest from l left join st using (law_uri)),
   x as (select lr.dst as target, f.law_uri, {_RANK} as rank, newest, length(sr) as n from lr join f on lr.src = f.law_uri)
 select target, min({{'k': rank, 'law': law_uri}}).law as superior, max({{'k': newest, 'law': law_uri}}).law as posterior, max({{'k': n, 'law': law_uri}}).law as specialis, count(*) as n_laws from x group by 1""")
 def precedence(s, d):

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder named in ``spark.checkpoint.dir``; choose one only where none is set.
 
-    A local session gets a temporary folder; a cluster session without the setting gets a folder
-    in its warehouse, which executors share, never a machine-local one.
+    A local session gets a temporary folder. A cluster session without the setting gets a folder in
+    its warehouse if that lies on a shared file system; a machine-local warehouse is refused.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
@@ -19,15 +19,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named:
         local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-        named = tempfile.mkdtemp(prefix="lexloom-ckpt-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not local and (warehouse.startswith("file:") or "://" not in warehouse):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="lexloom-ckpt-") if local else f"{warehouse}/_checkpoints"
     sc.setCheckpointDir(named)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of executors and has no lineage."""
+    """Reliable checkpoint: the result survives the loss of executors and has no lineage.
+
+    Files stay until the session drops them: set ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    to have them deleted with the last reference to their rows.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: A table of so few bytes may be dealt out by a shuffle.
+SMALL_BYTES = 256 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows of a small table that lies in fewer files than there are cores, dealt out to all cores; other tables as they are.
+
+    A file of one row group is read by one task, and what is computed from long texts would stay there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() > SMALL_BYTES.bit_length() or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -86,7 +86,7 @@ def test_given_payloads_equal_recursion(spark):
         except (ValueError, TypeError):
             continue
     df = spark.createDataFrame(raw, "record_id long, payload string")
-    got = [tuple(r) for r in subject_values(shred(df, "record_id", "payload")).collect()]
+    got = [tuple(r) for r in subject_values(df, "record_id", "payload").collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
@@ -99,7 +99,7 @@ ODD = [
 
 def test_odd_payloads(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate(ODD)] + [(99, None), (None, ODD[0])], "record_id long, payload string")
-    got = {tuple(r) for r in subject_values(shred(df, "record_id", "payload")).collect()}
+    got = {tuple(r) for r in subject_values(df, "record_id", "payload").collect()}
     want = set()
     for i in (0, 1, 2, 6, 7, 8, 9, 11):
         want |= {(i, *r) for r in brute(ODD[i])}
@@ -111,8 +111,7 @@ def test_very_long_and_deep_records(spark):
     deep = '{"uri": "top", "attributes": {"a": ' + '{"x": ' * 400 + '"end"' + "}" * 400 + "}}"
     wide = json.dumps({"uri": "w", "attributes": {f"k{i}": "v" * 50 for i in range(5000)}})
     df = spark.createDataFrame([(1, deep), (2, wide)], "record_id long, payload string")
-    nodes = shred(df, "record_id", "payload")
-    counts = {r["record_id"]: r["count"] for r in subject_values(nodes).groupBy("record_id").count().collect()}
+    counts = {r["record_id"]: r["count"] for r in subject_values(df, "record_id", "payload").groupBy("record_id").count().collect()}
     assert counts == {1: 1, 2: 5000}
 
 
@@ -129,6 +128,6 @@ def test_labels_give_back_the_tree(spark):
 
 @pytest.mark.parametrize("schema", ["record_id long, payload string, label string, path int, anchor string"])
 def test_empty_and_clashing_columns(spark, schema):
-    assert subject_values(shred(spark.createDataFrame([], schema), "record_id", "payload")).count() == 0
+    assert subject_values(spark.createDataFrame([], schema), "record_id", "payload").count() == 0
     df = spark.createDataFrame([(1, ODD[0], "l", 3, "a")], schema)
-    assert subject_values(shred(df, "record_id", "payload")).where("subject_uri = 'u1'").count() > 0
+    assert subject_values(df, "record_id", "payload").where("subject_uri = 'u1'").count() > 0
