@@ -20,14 +20,19 @@ STOP_WORDS = {
 }
 
 
-def language_hits(text: Column, lang: str) -> Column:
-    """How often words of a language occur, case-insensitively."""
-    return F.size(F.regexp_extract_all(text, F.lit(rf"(?iU)\b({'|'.join(LANGUAGE_WORDS[lang].split())})\b"), F.lit(0)))
+def detect_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
+def language_hits(words: Column, lang: str) -> Column:
+    """How many of the lower-case words are those of a language."""
+    return F.size(F.filter(words, lambda w: w.isin(LANGUAGE_WORDS[lang].split())))
 
 
 def detect_language(text: Column) -> Column:
     """The language with most hits; ties go to the first of de, fr, it, en; none or null gives de."""
-    hits = {lang: language_hits(text, lang) for lang in LANGUAGE_WORDS}
+    words = detect_words(text)
+    hits = {lang: language_hits(words, lang) for lang in LANGUAGE_WORDS}
     best = F.greatest(*hits.values())
     choice = F.when(best <= 0, "de")
     for lang, n in hits.items():

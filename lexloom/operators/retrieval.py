@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -112,6 +114,82 @@ def merge_methods(results: DataFrame, weights: Mapping[str, float], bonus: float
     return merged.select("uri", F.when(F.col("n_methods") > 1, F.least(F.lit(1.0), F.col("s") + bonus * (F.col("n_methods") - 1))).otherwise(F.col("s")).alias("combined_score"), "n_methods", "methods")
 
 
+def merge_scores(results: DataFrame, keys: Sequence[str], weights: Mapping[str, float], bonus: float = 0.1) -> DataFrame:
+    """One row per key of (keys…, method, score), with each method's score as text; see :func:`merge_methods`."""
+    weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.col("method")), F.lit(0.0))
+    one = results.groupBy(*keys, "method").agg(F.max("score").alias("score"))
+    told = F.array_join(F.array_sort(F.collect_list(F.concat("method", F.lit("="), F.format_string("%.2f", F.col("score"))))), ",")  # one a method
+    merged = one.groupBy(*keys).agg(F.sum(weight * F.col("score")).alias("s"), F.count(F.lit(1)).alias("n_methods"), told.alias("scores"))
+    score = F.when(F.col("n_methods") > 1, F.least(F.lit(1.0), F.col("s") + bonus * (F.col("n_methods") - 1))).otherwise(F.col("s"))
+    return merged.select(*keys, F.round(score, 6).alias("combined_score"), "n_methods", "scores")
+
+
+_WORD = re.compile("[a-zà-ÿ]+")
+#: Pairs of a query and one of its words that are sent to the tasks at most.
+MAX_QUERY_WORDS = 2_000_000
+
+
+def _counts(batches: Iterator[pd.DataFrame], known: dict[str, int]) -> Iterator[pd.DataFrame]:
+    """How many texts of the partition hold each word, and under -1 their number and length."""
+    df, n, total = np.zeros(len(known), np.int64), 0, 0
+    for pdf in batches:
+        for text in pdf["text"]:
+            df[[known[w] for w in set(_WORD.findall(text.lower())) if w in known]] += 1
+            total += len(text)
+        n += len(pdf)
+    hit = np.flatnonzero(df)
+    yield pd.DataFrame({"word": np.append(hit, -1), "n": np.append(df[hit], n), "total": np.append(np.zeros(len(hit), np.int64), total)})
+
+
+def _word_scores(batches: Iterator[pd.DataFrame], known: dict[str, int], idf: np.ndarray, mean: float, offsets: np.ndarray, asked: np.ndarray, ids: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """The best ``k`` texts of each slice for each query, by the queries that ask for each word (``offsets`` into ``asked``)."""
+    for pdf in batches:
+        for i in range(0, len(pdf), 512):
+            part = pdf.iloc[i : i + 512]
+            scores = np.zeros((len(ids), len(part)), np.float32 if len(ids) > 100_000 else np.float64)
+            for col, text in enumerate(part["text"]):
+                for word, tf in Counter(w for w in _WORD.findall(text.lower()) if w in known).items():
+                    w = known[word]
+                    scores[asked[offsets[w] : offsets[w + 1]], col] += idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(text) / mean))
+            docs = part["id"].to_numpy()
+            order = np.lexsort((np.broadcast_to(docs, scores.shape), -scores), axis=1)[:, :k]
+            rows = np.repeat(np.arange(len(ids)), order.shape[1])
+            best = scores[rows, order.ravel()]
+            hit = best > 0
+            yield pd.DataFrame({"query_id": ids[rows[hit]], "doc_id": docs[order.ravel()[hit]], "bm25": best[hit].astype(float)})
+
+
+def bm25_blocks(docs: DataFrame, doc: str, text: str, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, bm25): candidates among which are the best ``k`` documents of each query (query_id, words).
+
+    Whole words of the lower-case text count, lengths are characters. The stated queries' words are
+    sent to the texts, which are read twice, for the statistics and for the scores; each slice of
+    512 texts gives its best ``k`` for each query, so no pair of a query and a document is shuffled
+    beyond these. Raises ValueError for more than MAX_QUERY_WORDS words of queries: split them.
+    """
+    rows = queries.select("query_id", F.explode(F.array_distinct("words")).alias("word")).limit(MAX_QUERY_WORDS + 1).toPandas()
+    if len(rows) > MAX_QUERY_WORDS:
+        raise ValueError("too many words of queries at once")
+    texts = docs.where(F.col(text).isNotNull() & F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text"))
+    schema = "query_id long, doc_id long, bm25 double"
+    if rows.empty:
+        return docs.sparkSession.createDataFrame([], schema)
+    names, word = np.unique(rows["word"].to_numpy(str), return_inverse=True)
+    ids, query = np.unique(rows["query_id"].to_numpy(np.int64), return_inverse=True)
+    order = np.argsort(word, kind="stable")
+    known, asked, offsets = {w: i for i, w in enumerate(names.tolist())}, query[order], np.searchsorted(word[order], np.arange(len(names) + 1))
+    sc = docs.sparkSession.sparkContext
+    table = sc.broadcast(known)
+    counts = texts.mapInPandas(lambda it: _counts(it, table.value), "word long, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).toPandas()
+    if counts.empty or not counts.loc[counts["word"] < 0, "n"].sum():
+        return docs.sparkSession.createDataFrame([], schema)
+    head = counts[counts["word"] < 0].iloc[0]
+    df = np.zeros(len(names))
+    df[counts["word"][counts["word"] >= 0]] = counts["n"][counts["word"] >= 0]
+    shared = sc.broadcast((np.log((head["n"] - df + 0.5) / (df + 0.5) + 1), max(head["total"] / max(head["n"], 1), 1e-9), offsets, asked, ids))
+    return texts.mapInPandas(lambda it: _word_scores(it, table.value, *shared.value, k), schema)
+
+
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence, k: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
 

@@ -60,15 +60,16 @@ def valid_at(versions: DataFrame, at: Column) -> DataFrame:
     return hit.groupBy("law_uri").agg(F.max(F.struct("start", "uri")).alias("v")).select("law_uri", F.col("v.uri").alias("uri"), F.col("v.start").alias("start"))
 
 
-def as_of_join(events: DataFrame, versions: DataFrame, at: str, horizon: int = 2100) -> DataFrame:
+def as_of_join(events: DataFrame, versions: DataFrame, at: str) -> DataFrame:
     """Each event (law_uri, ``at``, …) with the version valid then: the last start not after it, if not ended.
 
     A version answers for the time up to the next start of its law, year by year (the last one up
-    to the year ``horizon``): an equi-join on law and year, of which an event matches one row at
+    to the year of the last event): an equi-join on law and year, of which an event matches one row at
     most. Events of a hot law spread over years and may be split further as skew; only a law's
     versions, not its events, are ordered. Events with a null law or time keep a null version.
     """
     names = [c for c in events.columns if c not in ("law_uri", at)]
+    horizon = events.agg(F.max(F.year(at))).head()[0] or 0
     until = F.lead("start").over(by_law())
     spans = versions.where("start is not null and law_uri is not null").select("law_uri", "uri", "start", "end", until.alias("until")).where("until is null or until > start")
     years = F.sequence(F.year("start"), F.greatest(F.year("start"), F.coalesce(F.year("until"), F.lit(horizon))))

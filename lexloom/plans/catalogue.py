@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import questions as Q
 from lexloom.functions.sr import is_valid_sr, normalize_sr, sr_domain, sr_levels
-from lexloom.functions.text import detect_language, truncate_words, word_count
+from lexloom.functions.text import LANGUAGE_WORDS, detect_language, truncate_words, word_count
 from lexloom.functions.uris import article_number, canonical_uri, law_designation, law_of_uri, status_digit
 from lexloom.operators import graph as G
 from lexloom.operators import retrieval as R
 from lexloom.operators import temporal as T
 from lexloom.operators.dedup import latest_delivery
 from lexloom.plans.problems import _designation, _law, _number, _uri
-from lexloom.session import materialize, table
+from lexloom.session import dealt, materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,6 +104,7 @@ def _last(name: str, tab: str, key: str, cols: dict[str, str]) -> str:
         from (select {', '.join(f'{e} as {c}' for c, e in cols.items())}, {_uri('uri')} as {key}, loaded_at from {tab}) where {key} is not null) where rn = 1)"""
 
 
+SR_SQL = "regexp_replace(nullif(regexp_replace(regexp_replace(sr_number, '\\s+', '', 'g'), '^(?i)(SR|RS)', ''), ''), '(^|\\.)0+(\\d)', '\\1\\2', 'g')"
 VERSIONS = _last("v0", "version_nodes", "uri", {"law_uri": _uri("law_uri"), "start": "date_applicable", "\"end\"": "case when year(date_end_applicable) < 9999 then date_end_applicable end"}) + ", v as (select * from v0 where law_uri is not null and start is not null)"
 LAWS = _last("l", "law_nodes", "law_uri", {c: c for c in LAW_COLUMNS})
 ARTICLES = _last("a", "article_nodes", "uri", {"law_uri": _uri("law_uri"), "variant": _uri("law_language_variant_uri"), **{c: c for c in ARTICLE_COLUMNS[2:]}})
@@ -466,9 +467,11 @@ def laws_without_articles(s, d):
     return laws(s, d).select("law_uri").join(articles(s, d).select("law_uri"), "law_uri", "left_anti")
 
 
-@query(f"with {VERSIONS}, {LAWS} select v.uri from v where not exists (select 1 from l where l.law_uri = v.law_uri)")
+@query(f"with {VERSIONS} select uri, law_uri from v where uri not in (select {_uri('version_uri')} from law_language_variants where version_uri is not null)")
 def isolated_versions(s, d):
-    return versions(s, d).join(laws(s, d).select("law_uri"), "law_uri", "left_anti").select("uri")
+    """Versions that no language variant is of."""
+    known = table(s, d, "law_language_variants").select(canonical_uri(F.col("version_uri")).alias("uri")).where("uri is not null").distinct()
+    return versions(s, d).join(known, "uri", "left_anti").select("uri", "law_uri")
 
 
 # ---- ingest ----
@@ -496,15 +499,23 @@ def incremental_files(s, d):
     return x.where("not done").join(x.where("done"), ["file_path", "content_hash"], "left_anti").select("file_path", "content_hash")
 
 
-@query("""with x as (select distinct record_id, payload from fedlex_json where json_valid(payload)), y as (select record_id, json_extract(payload, '$.data.type')::varchar as t from x)
-select record_id, contains(t, '"ConsolidationAbstract"') as is_law, contains(t, '"Consolidation"') as is_version, contains(t, '"Act"') as is_act from y where t is not null""")
+@query("""with x as (select distinct record_id, payload::json as v from fedlex_json where json_valid(payload)), y as (select record_id, unnest(case when json_type(v) = 'ARRAY' then json_extract(v, '$[*]') else [v] end) as e from x),
+  z as (select record_id, case when json_type(e->'data') = 'OBJECT' then e->'data' else e end as o from y), t as (select record_id, coalesce((o->'type')::varchar, '') as t, coalesce(case when json_type(o->'uri') = 'VARCHAR' then o->>'uri' end, '') as u from z where json_type(o) = 'OBJECT')
+select record_id, u as uri, contains(t, '"ConsolidationAbstract"') as is_law, contains(t, '"Consolidation"') or contains(t, '"Expression"') or regexp_matches(u, '/\\d{8}(/|$)') as is_version, contains(t, '"Act"') or contains(u, '/oc/') or contains(u, '/fga/') as is_act from t""")
 def entity_dispatch(s, d):
-    """Which extractors a document goes to, by the types of its data; a document may match several."""
+    """Which extractors each document of a record goes to, by the types and URI of its data, or of the object itself where there is no data; a payload may be a list."""
     v = F.try_parse_json("payload")
-    t = F.to_json(F.try_variant_get(v, "$.data.type", "variant"))
-    rows = table(s, d, "fedlex_json").select("record_id", "payload").distinct().select("record_id", t.alias("t")).where("t is not null")
+    rows = table(s, d, "fedlex_json").select("record_id", "payload").distinct().select("record_id", v.alias("v")).where("v is not null")
+    rows = rows.select("record_id", F.explode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))).alias("e"))
+    is_object = lambda c: F.schema_of_variant(c).startswith("OBJECT")
+    data = F.try_variant_get("e", "$.data", "variant")
+    rows = rows.select("record_id", F.when(F.coalesce(is_object(data), F.lit(False)), data).otherwise(F.col("e")).alias("o")).where(is_object(F.col("o")))
+    t, u = F.coalesce(F.to_json(F.try_variant_get("o", "$.type", "variant")), F.lit("")), F.coalesce(F.try_variant_get("o", "$.uri", "string"), F.lit(""))
     has = lambda name: F.col("t").contains(f'"{name}"')
-    return rows.select("record_id", has("ConsolidationAbstract").alias("is_law"), has("Consolidation").alias("is_version"), has("Act").alias("is_act"))
+    return rows.select("record_id", u.alias("uri"), t.alias("t")).select(
+        "record_id", "uri", has("ConsolidationAbstract").alias("is_law"), (has("Consolidation") | has("Expression") | F.col("uri").rlike(r"/\d{8}(/|$)")).alias("is_version"),
+        (has("Act") | F.col("uri").contains("/oc/") | F.col("uri").contains("/fga/")).alias("is_act"),
+    )
 
 
 @query("""with f as (select distinct source_file from html_references where source_file is not null), p as (select regexp_replace(source_file, '-\\d+\\.html$', '.html') as base_file, coalesce(try_cast(nullif(regexp_extract(source_file, '-(\\d+)\\.html$', 1), '') as int), 0) as page from f)
@@ -573,10 +584,10 @@ def article_titles_merged(s, d):
     return articles(s, d).where("law_uri is not null").groupBy("law_uri", "number").agg(F.countDistinct("lang").alias("n_languages"), of("de"), of("fr"), of("it"))
 
 
-@query(f"""with {ARTICLES} select variant, count(*) filter (number is null) as without_number, count(*) - count(distinct number) - count(*) filter (number is null) as repeated_numbers from a where variant is not null group by 1 having without_number > 0 or repeated_numbers > 0""")
+@query(f"""with {ARTICLES} select variant, count(*) filter (number is null) as without_number, count(*) - count(distinct number) - count(*) filter (number is null) as repeated_numbers, count(*) filter (coalesce(trim(content_full), '') = '') as without_content from a where variant is not null group by 1 having without_number > 0 or repeated_numbers > 0 or without_content > 0""")
 def content_validation(s, d):
-    bad = articles(s, d).where("variant is not null").groupBy("variant").agg(F.count_if(F.col("number").isNull()).alias("without_number"), (F.count("number") - F.countDistinct("number")).alias("repeated_numbers"))
-    return bad.where("without_number > 0 or repeated_numbers > 0")
+    bad = articles(s, d).where("variant is not null").groupBy("variant").agg(F.count_if(F.col("number").isNull()).alias("without_number"), (F.count("number") - F.countDistinct("number")).alias("repeated_numbers"), F.count_if(F.coalesce(F.trim("content_full"), F.lit("")) == "").alias("without_content"))
+    return bad.where("without_number > 0 or repeated_numbers > 0 or without_content > 0")
 
 
 @query("""with x as (select event_type as stage, value, row_number() over (partition by event_type order by value, event_id) as r, count(*) over (partition by event_type) as n from events where value is not null)
@@ -616,7 +627,7 @@ _BM25 = f"""x as (select doc_id, length(lower(text)) as len, {', '.join(f'{e} as
 
 @query(f"with {_BM25} select doc_id, round(bm25, 6) as bm25, round(bm25 / max(bm25) over (), 6) as bm25_norm from b order by bm25 desc, doc_id limit 20")
 def bm25_topk(s, d):
-    scored = R.bm25(table(s, d, "documents"), "doc_id", "text", WORDS)
+    scored = R.bm25(dealt(table(s, d, "documents").select("doc_id", "text")), "doc_id", "text", WORDS)
     top = scored.orderBy(F.desc("bm25"), "doc_id").limit(20)
     return top.select("doc_id", F.round("bm25", 6).alias("bm25"), F.round(F.col("bm25") / F.max("bm25").over(Window.partitionBy(F.lit(1))), 6).alias("bm25_norm"))
 
@@ -625,10 +636,9 @@ _COS = "q as (select embedding::double[] as qv from embeddings where vec_id = 0)
 
 
 def _cosines(s, d):
-    """Cosine of every vector with the one query vector, which is a single row."""
-    e = table(s, d, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("qv"))
-    return e.join(F.broadcast(q)).select("vec_id", "label", R.cosine(F.col("embedding"), F.col("qv")).alias("cos"))
+    """Cosine of every vector with the one query vector, by products of blocks."""
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    return R.block_cosines(e, e.where("id = 0").limit(1)).select(F.col("id").alias("vec_id"), "label", "cos")
 
 
 @query(f"with {_COS} select vec_id, round(cos, 6) as cos from c order by cos desc, vec_id limit 20")
@@ -645,7 +655,7 @@ def cosine_topk_per_label(s, d):
 select id, round(0.6 * v + 0.4 * k, 6) as hybrid from h where 0.6 * v + 0.4 * k >= 0.3 order by 0.6 * v + 0.4 * k desc, id limit 50""")
 def hybrid_search(s, d):
     """Flagship: keyword scores normalized by their maximum and rescaled cosine, outer-joined and weighted."""
-    b = R.bm25(table(s, d, "documents"), "doc_id", "text", WORDS)
+    b = R.bm25(dealt(table(s, d, "documents").select("doc_id", "text")), "doc_id", "text", WORDS)
     top = b.agg(F.max("bm25").alias("m"))
     k = b.join(F.broadcast(top)).select(F.col("doc_id").alias("id"), (F.col("bm25") / F.col("m")).alias("k"))
     v = _cosines(s, d).select(F.col("vec_id").alias("id"), ((1 + F.col("cos")) / 2).alias("v"))
@@ -666,7 +676,7 @@ _METHODS = f"""{_COS}, {_BM25}, m as (select vec_id::varchar as uri, 'vector' as
 
 
 def _method_results(s, d):
-    b = R.bm25(table(s, d, "documents"), "doc_id", "text", WORDS)
+    b = R.bm25(dealt(table(s, d, "documents").select("doc_id", "text")), "doc_id", "text", WORDS)
     m = b.agg(F.max("bm25").alias("m"))
     k = b.join(F.broadcast(m)).select(F.col("doc_id").cast("string").alias("uri"), F.lit("hybrid").alias("method"), (F.col("bm25") / F.col("m")).alias("score"))
     v = _cosines(s, d).select(F.col("vec_id").cast("string").alias("uri"), F.lit("vector").alias("method"), F.greatest(F.col("cos"), F.lit(0.0)).alias("score"))
@@ -694,7 +704,7 @@ def _all_cosines(s, d, k=None, per_label=False):
 
 
 def _keyword(s, d):
-    b = R.bm25(table(s, d, "documents"), "doc_id", "text", WORDS)
+    b = R.bm25(dealt(table(s, d, "documents").select("doc_id", "text")), "doc_id", "text", WORDS)
     return b.join(F.broadcast(b.agg(F.max("bm25").alias("m")))).select(F.col("doc_id").alias("id"), (F.col("bm25") / F.col("m")).alias("k"))
 
 
@@ -755,10 +765,14 @@ def merge_statistics_all(s, d):
     return _all_merged(s, d).groupBy("query_id", "methods").agg(F.count(F.lit(1)).alias("n_results"))
 
 
-@query()
+_TOLD = ", ".join(f"len(list_filter(ws, lambda w: w in ({', '.join(repr(x) for x in words.split())}))) as {lang}" for lang, words in LANGUAGE_WORDS.items())
+
+
+@query(f"""with w as (select lang, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') as ws from documents where text is not null), n as (select lang as declared, {_TOLD} from w)
+select declared as lang, case when greatest(de, fr, it, en) = 0 or de = greatest(de, fr, it, en) then 'de' when fr = greatest(de, fr, it, en) then 'fr' when it = greatest(de, fr, it, en) then 'it' else 'en' end as detected, count(*) as n_docs from n group by 1, 2""")
 def document_languages(s, d):
-    """Language by stop words beside the declared one (word boundaries know accents, so no SQL)."""
-    docs = table(s, d, "documents").where("text is not null")
+    """Language by stop words beside the declared one."""
+    docs = dealt(table(s, d, "documents").select("lang", "text")).where("text is not null")
     return docs.groupBy("lang", detect_language(F.col("text")).alias("detected")).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -807,10 +821,10 @@ def evidence_groups(s, d):
     return c.groupBy("law", "article").agg(F.count(F.lit(1)).alias("n_evidence"), F.round(F.least(F.avg("confidence") + F.least(0.05 * F.count(F.lit(1)), F.lit(0.2)), F.lit(1.0)), 6).alias("reliability"), (F.countDistinct("lang") > 1).alias("several_languages"))
 
 
-@query(f"""with {ARTICLES}, x as (select law_uri, number, lang, count(distinct md5(content_full)) as n_texts, count(distinct variant) as n_variants from a where law_uri is not null and content_full is not null group by 1, 2, 3) select law_uri, number, lang, n_texts, n_variants from x where n_texts > 1""")
+@query(f"""with {ARTICLES}, x as (select law_uri, number, count(distinct md5(content_full)) as n_texts, count(distinct variant) as n_variants, count(distinct lang) as n_languages from a where law_uri is not null and content_full is not null group by 1, 2) select * from x where n_texts > 1""")
 def contradicting_texts(s, d):
-    """Provisions of which different texts stand in one language: candidates of contradictions, one row per group."""
-    x = articles(s, d).where("law_uri is not null and content_full is not null").groupBy("law_uri", "number", "lang").agg(F.countDistinct(F.md5("content_full")).alias("n_texts"), F.countDistinct("variant").alias("n_variants"))
+    """Provisions of one law and number that read differently, across languages or variants: candidates of contradictions, one row a group instead of pairs."""
+    x = articles(s, d).where("law_uri is not null and content_full is not null").groupBy("law_uri", "number").agg(F.countDistinct(F.md5("content_full")).alias("n_texts"), F.countDistinct("variant").alias("n_variants"), F.countDistinct("lang").alias("n_languages"))
     return x.where("n_texts > 1")
 
 

@@ -151,7 +151,13 @@ def result_diversity_all(s, d):
 _EDGE_TYPES = {"isRealizedBy": "EXPRESSED_IN", "isEmbodiedBy": "MANIFESTED_AS", "isExemplifiedBy": "CONTAINS", "isMemberOf": "HAS_VERSION", "consolidationAbstract": "AMENDS", "impacts": "AMENDS", "basicAct": "BASED_ON", "classifiedByTaxonomyEntry": "CLASSIFIED_BY"}
 
 
-@query()
+_VALUES = f"with recursive {P._SUBJECTS}"
+_EDGES = f"""{_VALUES}, e as (select distinct case when entry_name = 'isMemberOf' then entry_value else subject_uri end as src, case when entry_name = 'isMemberOf' then subject_uri else entry_value end as dst,
+  case entry_name {' '.join(f"when '{k}' then '{v}'" for k, v in _EDGE_TYPES.items())} end as type from x where entry_name in ({', '.join(f"'{k}'" for k in _EDGE_TYPES)}))"""
+_LAW_FIELDS = ["dateDocument", "dateEntryInForce", "dateNoLongerInForce", "dateApplicability", "dateEndApplicability", "inForceStatus", "typeDocument", "title", "titleShort"]
+
+
+@query(f"{_EDGES} select * from e")
 def json_edges(s, d):
     """Typed edges between the subjects of the linked-data records; HAS_VERSION points from law to version."""
     v = P.record_values(s, d).where(F.col("entry_name").isin(*_EDGE_TYPES))
@@ -160,14 +166,13 @@ def json_edges(s, d):
     return v.select(F.when(turned, F.col("entry_value")).otherwise(F.col("subject_uri")).alias("src"), F.when(turned, F.col("subject_uri")).otherwise(F.col("entry_value")).alias("dst"), F.try_element_at(kinds, F.col("entry_name")).alias("type")).distinct()
 
 
-@query()
+@query(f"{_VALUES} select subject_uri, {', '.join(f"""min(entry_value) filter (entry_name = '{n}') as {n}""" for n in _LAW_FIELDS)}, count(distinct record_id) as n_records from x group by 1")
 def json_laws(s, d):
     """One row per subject with its dates, status and titles as columns."""
     v = P.record_values(s, d)
-    names = ["dateDocument", "dateEntryInForce", "dateNoLongerInForce", "dateApplicability", "dateEndApplicability", "inForceStatus", "typeDocument", "title", "titleShort"]
-    return v.groupBy("subject_uri").agg(*[F.min(F.when(F.col("entry_name") == n, F.col("entry_value"))).alias(n) for n in names], F.countDistinct("record_id").alias("n_records"))
+    return v.groupBy("subject_uri").agg(*[F.min(F.when(F.col("entry_name") == n, F.col("entry_value"))).alias(n) for n in _LAW_FIELDS], F.countDistinct("record_id").alias("n_records"))
 
 
-@query()
+@query(f"{_EDGES} select type, count(*) as n from e group by 1")
 def json_edge_counts(s, d):
     return G.count_by(json_edges(s, d), "type")

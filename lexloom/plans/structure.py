@@ -59,7 +59,7 @@ def article_sort_keys(s, d):
     return C.articles(s, d).where("number is not null").select("uri", sortable_number(F.col("number")).alias("sort_key"))
 
 
-_SR = "regexp_replace(nullif(regexp_replace(regexp_replace(sr_number, '\\s+', '', 'g'), '^(?i)(SR|RS)', ''), ''), '(^|\\.)0+(\\d)', '\\1\\2', 'g')"
+_SR = C.SR_SQL
 
 
 @query(f"""with {C.ARTICLES}, {C.LAWS}, b as (select a.uri, a.ast_path, '/sr_' || replace({_SR}, '.', '_') || '/' || a.lang as parent_path, lower(trim(a.number)) as n from a join l using (law_uri) where a.number is not null and a.lang is not null)

@@ -46,7 +46,7 @@ def dealt(df: DataFrame) -> DataFrame:
     A file of one row group is read by one task, and what is computed from long texts would stay there.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() > SMALL_BYTES.bit_length() or len(df.inputFiles()) >= cores:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores)
 

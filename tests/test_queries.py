@@ -6,11 +6,12 @@ import os
 import duckdb
 import pytest
 
-from lexloom.plans import catalogue, problems, reasoning, structure
+from lexloom.plans import catalogue, problems, reasoning, search, structure, texts
 
 SF = "/root/testdata/sf0.001"
-ALL = {**problems.QUERIES, **catalogue.QUERIES, **reasoning.QUERIES, **structure.QUERIES}
-SQL = {**problems.ORACLES, **catalogue.ORACLES, **reasoning.ORACLES, **structure.ORACLES}
+MODULES = [problems, catalogue, reasoning, structure, texts, search]
+ALL = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
 
 @pytest.fixture(scope="module")
