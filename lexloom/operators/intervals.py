@@ -33,7 +33,7 @@ def dyadic_blocks(df: DataFrame, keys: Sequence[str], start: str, end: str) -> D
     picked = picked.where("_a < _b").dropna(subset=list(keys))
 
     blocks = F.expr(
-        f"""flatten(transform(sequence(0, {LEVELS}), k -> filter(array(
+        f"""flatten(transform(sequence(0, least({LEVELS}, cast(log2(_b - _a) as int))), k -> filter(array(
             if(shiftright(_a + shiftleft(1, k) - 1, k) % 2 = 1, struct(k as level, shiftright(_a + shiftleft(1, k) - 1, k) as idx), null),
             if(shiftright(_b, k) % 2 = 1, struct(k as level, shiftright(_b, k) - 1 as idx), null)
         ), x -> x is not null and shiftright(_a + shiftleft(1, k) - 1, k) < shiftright(_b, k))))"""

@@ -68,7 +68,7 @@ def variants(s: SparkSession, d: str) -> DataFrame:
 
 
 def references(s: SparkSession, d: str) -> DataFrame:
-    raw = table(s, d, "html_references").select("ref_id", law_of_uri(canonical_uri(F.col("source_uri"))).alias("source_law"), "target_law", "target_article", "raw_text", "lang", "confidence", "context_text", "extracted_at", "source_file")
+    raw = dealt(table(s, d, "html_references")).select("ref_id", law_of_uri(canonical_uri(F.col("source_uri"))).alias("source_law"), "target_law", "target_article", "raw_text", "lang", "confidence", "context_text", "extracted_at", "source_file")
     return raw.dropDuplicates(["ref_id"])
 
 
@@ -82,7 +82,7 @@ def law_names(s: SparkSession, d: str) -> DataFrame:
 
 def named_references(s: SparkSession, d: str) -> DataFrame:
     """(src, name, n): which law refers to which name, and how often; counted before any join, so that a hot name meets as few rows as there are laws."""
-    raw = table(s, d, "html_references").select("ref_id", law_of_uri(canonical_uri(F.col("source_uri"))).alias("src"), law_designation(F.col("target_law")).alias("name"))
+    raw = dealt(table(s, d, "html_references").select("ref_id", "source_uri", "target_law")).select("ref_id", law_of_uri(canonical_uri(F.col("source_uri"))).alias("src"), law_designation(F.col("target_law")).alias("name"))
     return raw.where("src is not null and name is not null").groupBy("src", "name").agg(F.count_distinct("ref_id").alias("n"))
 
 

@@ -12,7 +12,7 @@ from lexloom.operators.history import snapshot_changes, snapshot_history
 from lexloom.operators.intervals import LAST_DAY, covered_spans, day_number, day_string
 from lexloom.operators.nested import object_table, schema_tables, shred, subject_values, value_table
 from lexloom.operators.references import failed_references, orphan_report
-from lexloom.session import table
+from lexloom.session import dealt, table
 
 OPEN_END = "9999-12-31"
 
@@ -111,7 +111,7 @@ def reference_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def law_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_table, row_key, ref_field, key, at): what html_references and article_nodes refer to."""
-    html = table(spark, sf_dir, "html_references").select(F.col("ref_id").cast("string").alias("row_key"), law_designation(F.col("target_law")).alias("law"), article_number(F.col("target_article")).alias("number"), F.col("extracted_at").alias("at"))
+    html = dealt(table(spark, sf_dir, "html_references").select("ref_id", "target_law", "target_article", "extracted_at")).select(F.col("ref_id").cast("string").alias("row_key"), law_designation(F.col("target_law")).alias("law"), article_number(F.col("target_article")).alias("number"), F.col("extracted_at").alias("at"))
     both = F.array(
         F.struct(F.lit("target_law").alias("ref_field"), F.concat(F.lit("L|"), "law").alias("key")),
         F.struct(F.lit("target_article").alias("ref_field"), F.concat(F.lit("A|"), "law", F.lit("|"), "number").alias("key")),
