@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.leakage import covered_items, leaked_items
 from lexloom.llm.packing import BITS, CAPACITY, DIMS, pack_texts
 from lexloom.llm.residue import residue, train
-from lexloom.session import materialize, table
+from lexloom.session import dealt, materialize, table
 
 #: Ranks of a public byte-level BPE for many languages; the path can be set in the session.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -24,8 +24,12 @@ def _vocabulary(spark: SparkSession) -> tuple[str, str]:
     return os.path.realpath(path), public_tokenizers.PATTERN
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_texts(table(spark, sf_dir, "documents"), *_vocabulary(spark))
+    return pack_texts(_documents(spark, sf_dir), *_vocabulary(spark))
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +43,7 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaked_items(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,16 +53,16 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and items by what the tiles cover, reordered passages too."""
-    return covered_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return covered_items(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue(table(spark, sf_dir, "documents"))
+    return residue(_documents(spark, sf_dir, "source"))
 
 
 def p8_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of the classifier on hosts that it was not fitted on."""
-    figures = train(table(spark, sf_dir, "documents")).figures
+    figures = train(_documents(spark, sf_dir, "source")).figures
     return spark.createDataFrame([(k, float(v)) for k, v in figures.items()], "figure string, value double")
 
 
