@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from lexloom.plans import catalogue, problems, reasoning, search, structure, texts
+from lexloom.plans import catalogue, problems, reasoning, records, search, structure, texts
 
 SF = "/root/testdata/sf0.001"
-MODULES = [problems, catalogue, reasoning, structure, texts, search]
+MODULES = [problems, catalogue, reasoning, structure, texts, search, records]
 ALL = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
