@@ -778,15 +778,49 @@ def document_languages(s, d):
 
 # ---- question analysis, on the texts around references ----
 
-@query()
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _told(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, {_quoted(pattern)})::int"
+
+
+def _question_sql() -> str:
+    """The analysis as SQL, from the same patterns."""
+    names = list(Q.INTENTS)
+    hits = ", ".join(f"{' + '.join(_told('low', p) for p in ps)} as h_{n}" for n, (_, ps) in Q.INTENTS.items())
+    scores = {n: f"h_{n} * {w}::double" for n, (w, _) in Q.INTENTS.items()}
+    best = f"greatest({', '.join(scores.values())})"
+    name = f"case {' '.join(f"when {scores[n]} = {best} then '{n}'" for n in names)} end"
+    found = ", ".join(f"len(regexp_extract_all(t, {_quoted('(?i)' + p)}, 1)) as n_{n}" for n, p in Q.ENTITIES.items())
+    ambiguous = " + ".join(f"{_told('t', '(?i)' + p)} * 1.5::double" for p in Q.AMBIGUITY)
+    pick = lambda table: f"case intent {' '.join(f"when '{k}' then '{v}'" for k, v in table.items())} end"
+    return f"""with q0 as (select doc_id, translate(regexp_replace(text, '\\s+', ' ', 'g'), '{Q.MARKED}', '{Q.BARE}') as t from documents where text is not null), q as (select *, lower(t) as low from q0),
+  a as (select *, {hits}, {found}, len(string_split(trim(t), ' ')) as n_words, least(1.0::double, ({ambiguous} + {_told('t', '(?i)' + Q.VAGUE)} * 1.0::double + {_told('t', '(?i)' + Q.PRONOUNS)} * 0.5::double + contains(low, 'maybe')::int * 2.0::double) / {len(Q.AMBIGUITY) * 1.5 + 3.5}::double) as ambiguity from q),
+  b as (select *, {' + '.join(f'(h_{n} > 0)::int' for n in names)} as kinds, {name} as best, {' + '.join(f'n_{n}' for n in Q.ENTITIES)} as n_entities from a),
+  c as (select *, case when kinds = 0 then 'exploratory' else best end as intent, case best {' '.join(f"when '{n}' then h_{n}" for n in names)} end as hits from b),
+  d as (select *, case when hits >= 2 then 0.8::double else 0.6::double end as c0 from c), e as (select *, case when kinds = 1 then least(1.0::double, c0 * 1.2) else c0 end as c1 from d),
+  f as (select *, case when kinds = 0 then 0.5::double when best in ('comparative', 'procedural') then least(1.0::double, c1 * 1.2) else c1 end as confidence,
+    case when n_words > 30 then 2 when n_words > 15 then 1 else 0 end + case when n_entities > 3 then 2 when n_entities > 1 then 1 else 0 end + (len(regexp_extract_all(t, {_quoted(Q.CONNECTIVES)})) > 2)::int + {_told('t', '(?i)' + Q.CONTRAST)} + {_told('t', '(?i)' + Q.CONDITIONAL)} as level from e),
+  g as (select *, case when level >= 3 then 'complex' when level >= 2 then 'medium' else 'simple' end as complexity from f)
+select doc_id, intent, round(confidence, 4) as confidence, n_entities::int as n_entities, complexity, round(ambiguity, 4) as ambiguity, array_to_string(list_filter([case when {_told('low', Q.RECENT)} = 1 and n_dates = 0 then 'time_period' end,
+    case when not regexp_matches(low, 'swiss|switzerland') and regexp_matches(low, 'law|legal|statute|regulation') then 'jurisdiction' end, case when {_told('low', Q.SPECIFIC)} = 1 and not regexp_matches(low, 'naturalization|visa|income|real estate') then 'specific_type' end,
+    case when {_told('low', Q.SCOPED)} = 1 and n_laws = 0 then 'specific_law_or_context' end], lambda x: x is not null), ',') as missing_context, n_articles > 0 as has_article,
+  case when round(ambiguity, 4) > 0.6 or complexity = 'complex' then 'hybrid' when n_articles > 0 then 'ast' when intent in ('definitional', 'factual') then 'vector' else {pick(Q.STRATEGIES)} end as strategy, {pick(Q.FALLBACKS)} as fallback from g"""
+
+
+@query(_question_sql())
 def question_analysis(s, d):
-    """What the texts around references ask for: intent, entities, complexity, ambiguity and strategy."""
-    t = F.col("context_text")
-    a = references(s, d).where("context_text is not null").select("ref_id", Q.intent(t).alias("i"), Q.entities(t).alias("e"), Q.ambiguity(t).alias("ambiguity"), Q.missing_context(t).alias("missing_context"), t)
-    n = F.size("e.articles") + F.size("e.sections") + F.size("e.dates")
-    level = Q.complexity(t, n)
-    a = a.select("ref_id", "i.intent", F.round("i.confidence", 4).alias("confidence"), n.alias("n_entities"), level.alias("complexity"), F.round("ambiguity", 4).alias("ambiguity"), F.array_join("missing_context", ",").alias("missing_context"), (F.size("e.articles") > 0).alias("has_article"))
-    return a.withColumn("strategy", Q.strategy(F.col("intent"), F.col("has_article"), F.col("ambiguity"), F.col("complexity")))
+    """Texts read as questions: intent, entities, complexity, ambiguity, what is missing, strategy and fallback."""
+    docs = dealt(table(s, d, "documents").select("doc_id", "text")).where("text is not null").select("doc_id", Q.plain_text(F.col("text")).alias("text"))
+    t = F.col("text")
+    # in stages, so that what several columns read is matched once
+    a = docs.select("doc_id", "text", Q.intent_scores(t).alias("scored"), Q.entities(t).alias("e")).withColumn("i", Q.intent(F.col("scored")))
+    n = sum((F.size(f"e.{name}") for name in Q.ENTITIES), F.lit(0))
+    a = a.withColumns({"n_entities": n, "ambiguous": Q.ambiguity(t), "missing_context": F.array_join(Q.missing_context(t, F.size("e.dates"), F.size("e.laws")), ",")})
+    a = a.select("doc_id", "i.intent", F.round("i.confidence", 4).alias("confidence"), "n_entities", Q.complexity(t, F.col("n_entities")).alias("complexity"), F.round("ambiguous", 4).alias("ambiguity"), "missing_context", (F.size("e.articles") > 0).alias("has_article"))
+    return a.withColumns({"strategy": Q.strategy(F.col("intent"), F.col("has_article"), F.col("ambiguity"), F.col("complexity")), "fallback": Q.fallback(F.col("intent"))})
 
 
 @query(f"""with {REFS}, p as (select ref_id, raw_text, nullif(regexp_extract(raw_text, '(\\d+\\.\\d+)', 1), '') as sr, nullif(regexp_extract(raw_text, '(?i)art\\.?\\s*(\\d+[a-z]*)', 1), '') as article from r where raw_text is not null)

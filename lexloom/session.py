@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,17 +12,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder named in ``spark.checkpoint.dir``; choose one only where none is set.
 
     A local session gets a temporary folder. A cluster session without the setting gets a folder in
-    its warehouse if that lies on a shared file system; a machine-local warehouse is refused.
+    its warehouse, which must then be shared: a warning says so if its path looks machine-local.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    named = sc.getConf().get("spark.checkpoint.dir")
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
         warehouse = spark.conf.get("spark.sql.warehouse.dir")
         if not local and (warehouse.startswith("file:") or "://" not in warehouse):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            warnings.warn("spark.checkpoint.dir is not set and the warehouse may be machine-local: name a folder that all executors share", stacklevel=2)
         named = tempfile.mkdtemp(prefix="lexloom-ckpt-") if local else f"{warehouse}/_checkpoints"
     sc.setCheckpointDir(named)
 

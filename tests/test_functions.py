@@ -49,9 +49,9 @@ def test_text(spark):
 
 def test_questions(spark):
     asked = ["What is the difference between the Civil Code and article 5?", "How to apply for citizenship?", "hello", "When was the law changed since 1990?"]
-    assert [r["intent"] for r in apply(spark, Q.intent, asked)] == ["comparative", "procedural", "exploratory", "temporal"]
-    assert apply(spark, Q.intent, ["hello"])[0]["confidence"] == 0.5
-    assert apply(spark, Q.missing_context, asked)[1] == ["specific_type"]
+    assert [r["intent"] for r in apply(spark, lambda c: Q.intent(Q.intent_scores(c)), asked)] == ["comparative", "procedural", "exploratory", "temporal"]
+    assert apply(spark, lambda c: Q.intent(Q.intent_scores(c)), ["hello"])[0]["confidence"] == 0.5
+    assert apply(spark, lambda c: Q.missing_context(c, F.size(Q.entities(c)['dates']), F.size(Q.entities(c)['laws'])), asked)[1] == ["specific_type"]
     assert apply(spark, Q.ambiguity, ["maybe some of it or any"])[0] > apply(spark, Q.ambiguity, ["article 5"])[0] == 0.0
     found = apply(spark, Q.entities, ["Article 12a and art. 3 of 2004"])[0]
     assert list(found["articles"]) == ["12a", "3"] and list(found["dates"]) == ["2004"]

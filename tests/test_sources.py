@@ -26,3 +26,13 @@ def test_files(spark, tmp_path):
     edges = spark.createDataFrame([("a", "b", "X"), ("a", "b", "X"), ("b", "c", "Y")], "src string, dst string, type string")
     write_edges(edges, str(tmp_path / "edges"))
     assert spark.read.parquet(str(tmp_path / "edges")).where("type = 'X'").count() == 1
+
+
+def test_small_tables_are_dealt_out_whole(spark, monkeypatch):
+    from lexloom import session
+
+    df = session.table(spark, "/root/testdata/sf0.001", "law_nodes")
+    out = session.dealt(df)
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+    monkeypatch.setattr(session, "SMALL_BYTES", 10)
+    assert session.dealt(df) is df
