@@ -29,8 +29,8 @@ MIN_WORDS, EDIT_RATE = 40, 15
 MIN_TILE, MAX_GAP = 3, 24
 #: Items with more seeds than this (16 MB) are not broadcast to filter the documents' seeds.
 MAX_BROADCAST_SEEDS = 2_000_000
-#: Pairs of a document and an item that are sent to the documents' words; more meet them by a shuffle.
-MAX_BROADCAST_PAIRS = 100_000
+#: Cells of pairs of a document and an item that are sent to the documents' words (some 30 MB); more meet them by a shuffle.
+MAX_BROADCAST_CELLS = 1_000_000
 #: Width of a band of diagonals: two neighbouring cells.
 BAND = 32
 #: Reordered passages: at least this share of the item's words stands in tiles of so many words; blocks of BLOCK words or more are found.
@@ -372,7 +372,7 @@ def tiled_pairs(docs: DataFrame, items: DataFrame, reordered: bool = True) -> Da
     start = F.greatest(F.array_min(F.transform("cells", lambda c: c["low"])) - BAND, F.lit(0))
     length = F.greatest(F.array_max(F.transform("cells", lambda c: c["high"])) + F.size("item_words") + BAND - start, F.lit(0))
     pairs = materialize(pairs)
-    if pairs.count() <= MAX_BROADCAST_PAIRS:  # few: sent to the words, which then need no shuffle
+    if (pairs.agg(F.sum(F.size("cells"))).head()[0] or 0) <= MAX_BROADCAST_CELLS:  # few: sent to the words, which then need no shuffle
         pairs = F.broadcast(pairs)
     cut = rows.select("doc_id", "words").join(pairs, "doc_id").join(known_words, "item_id").select("doc_id", "item_id", "item_words", "weights", F.slice("words", start + 1, length).alias("doc_words"), start.alias("start"), "cells")
     told = cut.mapInPandas(lambda it: _judge(it, reordered), result)

@@ -122,7 +122,7 @@ def test_without_broadcast_and_empty_tables(spark, monkeypatch):
     ddf = spark.createDataFrame(list(docs.items())[:20], "doc_id long, text string")
     idf = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
     monkeypatch.setattr(L, "MAX_BROADCAST_SEEDS", 0)
-    monkeypatch.setattr(L, "MAX_BROADCAST_PAIRS", 0)
+    monkeypatch.setattr(L, "MAX_BROADCAST_CELLS", 0)
     assert {tuple(x) for x in leaked_items(ddf, idf).collect()} == {x for x in want if x[0] < 20}
     assert leaked_items(ddf.limit(0), idf).count() == 0 and leaked_items(ddf, idf.limit(0)).count() == 0
 
