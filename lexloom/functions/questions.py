@@ -55,7 +55,9 @@ def _all(text: Column, pattern: str) -> Column:
 def intent_scores(text: Column) -> Column:
     """Array of (score, order, name, hits) of all intents; keep it as a column, as several answers read it."""
     low = F.lower(text)
-    return F.array(*[F.struct((_hits(low, p) * F.lit(w)).alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("name"), _hits(low, p).alias("hits")) for i, (n, (w, p)) in enumerate(INTENTS.items())])
+    hits = F.array(*[_hits(low, patterns) for _, patterns in INTENTS.values()])
+    weights, names = F.array(*[F.lit(w) for w, _ in INTENTS.values()]), F.array(*[F.lit(n) for n in INTENTS])
+    return F.transform(hits, lambda h, i: F.struct((h * F.get(weights, i)).alias("score"), (-i).alias("order"), F.get(names, i).alias("name"), h.alias("hits")))
 
 
 def intent(scored: Column) -> Column:
@@ -110,3 +112,8 @@ def strategy(intent_name: Column, has_article: Column, ambiguous: Column, level:
 
 def fallback(intent_name: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in FALLBACKS.items() for x in pair]), intent_name)
+
+
+#: What to ask for what is missing, by priority, and how many questions at most.
+CLARIFICATIONS = {"jurisdiction": "Which jurisdiction does the question concern?", "specific_law_or_context": "Which law or situation is meant?", "specific_type": "Which kind of case is it?", "time_period": "Which date or period is meant?"}
+MOST_CLARIFICATIONS = 3

@@ -823,6 +823,18 @@ def question_analysis(s, d):
     return a.withColumns({"strategy": Q.strategy(F.col("intent"), F.col("has_article"), F.col("ambiguity"), F.col("complexity")), "fallback": Q.fallback(F.col("intent"))})
 
 
+@query(f"""with x as ({_question_sql()}), m as (select doc_id, ambiguity, unnest(string_split(missing_context, ',')) as missing from x where missing_context <> ''),
+  k as (select doc_id, missing, case missing {' '.join(f"when '{k}' then {i + 1}" for i, k in enumerate(Q.CLARIFICATIONS))} end as priority, case missing {' '.join(f"when '{k}' then '{v}'" for k, v in Q.CLARIFICATIONS.items())} end as question from m)
+select * from k qualify row_number() over (partition by doc_id order by priority) <= {Q.MOST_CLARIFICATIONS}""")
+def clarifications(s, d):
+    """Questions back to the asker for what is missing, the first by priority; a text lacks four things at most, so they are cut within its row."""
+    known = list(Q.CLARIFICATIONS)
+    names, asked = F.array(*map(F.lit, known)), F.array(*[F.lit(v) for v in Q.CLARIFICATIONS.values()])
+    ranks = F.slice(F.array_sort(F.transform(F.split("missing_context", ","), lambda m: F.array_position(names, m).cast("int"))), 1, Q.MOST_CLARIFICATIONS)
+    k = question_analysis(s, d).where("missing_context <> ''").select("doc_id", F.explode(ranks).alias("priority"))
+    return k.select("doc_id", F.get(names, F.col("priority") - 1).alias("missing"), "priority", F.get(asked, F.col("priority") - 1).alias("question"))
+
+
 @query(f"""with {REFS}, p as (select ref_id, raw_text, nullif(regexp_extract(raw_text, '(\\d+\\.\\d+)', 1), '') as sr, nullif(regexp_extract(raw_text, '(?i)art\\.?\\s*(\\d+[a-z]*)', 1), '') as article from r where raw_text is not null)
 select ref_id, sr, article, case when article is not null then 'ARTICLE' when sr is not null then 'LAW' end as search_level from p""")
 def structure_hints(s, d):
