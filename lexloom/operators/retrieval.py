@@ -86,21 +86,32 @@ def block_cosines(rows: DataFrame, queries: DataFrame, k: int | None = None, per
     return pack(rows, 4096).crossJoin(asked).mapInPandas(lambda it: _block_scores(it, k, per_label), "query_id bigint, id bigint, label int, cos double")
 
 
-def min_max(score: Column, by: Window) -> Column:
-    """Score on [0, 1] in its group; 0.5 where all are equal."""
-    lo, hi = F.min(score).over(by), F.max(score).over(by)
-    return F.when(hi == lo, 0.5).otherwise((score - lo) / (hi - lo))
+def ranks_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with each row's place, from 0, within its group: groups of any size are ordered by ranges, not in one task each.
 
+    Ranges of group and order are cut by a sample; each range counts its own rows and starts where those of its group
+    before it end. ``order`` must tell all rows of a group apart.
+    """
+    parts = materialize(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1
+    return parts.withColumn("_own", own).join(starts, [*by, "_part"]).withColumn(name, F.col("_start") + F.col("_own")).drop("_own", "_start", "_part")
 
-def z_sigmoid(score: Column, by: Window) -> Column:
-    """Sigmoid of the z-score; a single score stays, equal scores give 0.5."""
-    n, mean, std = F.count(score).over(by), F.avg(score).over(by), F.stddev_pop(score).over(by)
-    return F.when(n < 2, score).when(std == 0, 0.5).otherwise(1 / (1 + F.exp(-(score - mean) / std)))
 
+def normalized(scores: DataFrame, by: Sequence[str], score: str, order: Sequence[Column]) -> DataFrame:
+    """``scores`` with ``minmax``, ``zscore`` and ``rank_score`` within each group.
 
-def rank_score(order: Window, by: Window) -> Column:
-    """1 - rank / n with the best at rank 0."""
-    return 1 - (F.row_number().over(order) - 1) / F.count(F.lit(1)).over(by)
+    Extremes, mean and deviation are aggregated before they are joined back: one row a group. Min-max
+    is 0.5 where all are equal; the z-score goes through a sigmoid, a single score stays, equal scores
+    give 0.5; the rank score is 1 - place / n, the best at place 0.
+    """
+    c = F.col(score)
+    told = scores.groupBy(*by).agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"), F.avg(c).alias("_mean"), F.stddev_pop(c).alias("_std"), F.count(F.lit(1)).alias("_n"))
+    minmax = F.when(F.col("_hi") == F.col("_lo"), 0.5).otherwise((c - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    zscore = F.when(F.col("_n") < 2, c).when(F.col("_std") == 0, 0.5).otherwise(1 / (1 + F.exp(-(c - F.col("_mean")) / F.col("_std"))))
+    ranked = ranks_within(scores, by, order, "_place").join(told, list(by))
+    return ranked.select(*scores.columns, minmax.alias("minmax"), zscore.alias("zscore"), (1 - F.col("_place") / F.col("_n")).alias("rank_score"))
 
 
 def merge_methods(results: DataFrame, weights: Mapping[str, float], bonus: float = 0.1) -> DataFrame:

@@ -666,9 +666,11 @@ def hybrid_search(s, d):
 @query(f"""with {_COS} select vec_id, round(case when max(cos) over w = min(cos) over w then 0.5 else (cos - min(cos) over w) / (max(cos) over w - min(cos) over w) end, 6) as minmax,
   round(case when stddev_pop(cos) over w = 0 then 0.5 else 1 / (1 + exp(-(cos - avg(cos) over w) / stddev_pop(cos) over w)) end, 5) as zscore, round(1 - (row_number() over (partition by label order by cos desc, vec_id desc) - 1) / count(*) over w, 6) as rank_score from c window w as (partition by label)""")
 def normalized_scores(s, d):
-    w = Window.partitionBy("label")
-    c = F.col("cos")
-    return _cosines(s, d).select("vec_id", F.round(R.min_max(c, w), 6).alias("minmax"), F.round(R.z_sigmoid(c, w), 5).alias("zscore"), F.round(R.rank_score(w.orderBy(F.desc("cos"), F.desc("vec_id")), w), 6).alias("rank_score"))
+    return _rounded(R.normalized(_cosines(s, d), ["label"], "cos", [F.desc("cos"), F.desc("vec_id")]), "vec_id")
+
+
+def _rounded(scores, *keys):
+    return scores.select(*keys, F.round("minmax", 6).alias("minmax"), F.round("zscore", 5).alias("zscore"), F.round("rank_score", 6).alias("rank_score"))
 
 
 _METHODS = f"""{_COS}, {_BM25}, m as (select vec_id::varchar as uri, 'vector' as method, greatest(cos, 0) as score from c union all select doc_id::varchar, 'hybrid', bm25 / (select max(bm25) from b) from b),
@@ -738,8 +740,7 @@ def hybrid_search_all(s, d):
 @query(f"""with {_COS_ALL} select query_id, vec_id, round(case when max(cos) over w = min(cos) over w then 0.5 else (cos - min(cos) over w) / (max(cos) over w - min(cos) over w) end, 6) as minmax,
   round(case when stddev_pop(cos) over w = 0 then 0.5 else 1 / (1 + exp(-(cos - avg(cos) over w) / stddev_pop(cos) over w)) end, 5) as zscore, round(1 - (row_number() over (partition by query_id, label order by cos desc, vec_id desc) - 1) / count(*) over w, 6) as rank_score from c window w as (partition by query_id, label)""")
 def normalized_scores_all(s, d):
-    w, c = Window.partitionBy("query_id", "label"), F.col("cos")
-    return _all_cosines(s, d).select("query_id", "vec_id", F.round(R.min_max(c, w), 6).alias("minmax"), F.round(R.z_sigmoid(c, w), 5).alias("zscore"), F.round(R.rank_score(w.orderBy(F.desc("cos"), F.desc("vec_id")), w), 6).alias("rank_score"))
+    return _rounded(R.normalized(_all_cosines(s, d), ["query_id", "label"], "cos", [F.desc("cos"), F.desc("vec_id")]), "query_id", "vec_id")
 
 
 _METHODS_ALL = f"""{_COS_ALL}, {_BM25}, m as (select query_id, vec_id as uri, 'vector' as method, greatest(cos, 0) as score from c union all select q.vec_id, doc_id, 'hybrid', bm25 / (select max(bm25) from b) from b, embeddings q where q.vec_id % 100 = 0),

@@ -76,3 +76,17 @@ def test_patterns_find_all_hits(spark):
     assert [r[0] for r in df.select(law_number_of_uri(F.col("u"))).collect()] == ["SR I 2", None]
     parts = df.select(F.explode(sentences(F.col("r"))).alias("s")).select("s", F.explode(rule_parts(F.col("s"), F.lit("de"))).alias("p")).select("p.*").collect()
     assert {p["kind"] for p in parts} >= {"OBLIGATION", "PERMISSION", "EXCEPTION", "CONSEQUENCE"}
+
+
+def test_places_within_a_hot_group(spark):
+    rows = [(0 if i % 3 else i % 7, float(i * 37 % 50), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "g int, v double, id int").repartition(6)
+    got = {r["id"]: r["place"] for r in R.ranks_within(df, ["g"], [F.desc("v"), F.asc("id")], "place").collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        want |= {i: k for k, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2])))}
+    assert got == want
+    one = spark.createDataFrame([(1, 0.7, 1), (2, 0.3, 1), (2, 0.3, 2)], "g int, v double, id int")
+    told = {(r["g"], r["id"]): (r["minmax"], r["zscore"], r["rank_score"]) for r in R.normalized(one, ["g"], "v", [F.desc("v"), F.asc("id")]).collect()}
+    assert told == {(1, 1): (0.5, 0.7, 1.0), (2, 1): (0.5, 0.5, 1.0), (2, 2): (0.5, 0.5, 0.5)}
+    assert R.normalized(one.limit(0), ["g"], "v", [F.asc("id")]).count() == 0
