@@ -29,8 +29,8 @@ MIN_WORDS, EDIT_RATE = 40, 15
 MIN_TILE, MAX_GAP = 3, 24
 #: Items with more seeds than this (16 MB) are not broadcast to filter the documents' seeds.
 MAX_BROADCAST_SEEDS = 2_000_000
-#: Cells of pairs of a document and an item that are sent to the documents' words (some 30 MB); more meet them by a shuffle.
-MAX_BROADCAST_CELLS = 1_000_000
+#: Cells of pairs of a document and an item that are sent to the documents' words (some 8 MB); more meet them by a shuffle.
+MAX_BROADCAST_CELLS = 100_000
 #: Width of a band of diagonals: two neighbouring cells.
 BAND = 32
 #: Reordered passages: at least this share of the item's words stands in tiles of so many words; blocks of BLOCK words or more are found.
