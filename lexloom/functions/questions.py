@@ -37,8 +37,9 @@ MARKED, BARE = "äöüàâáéèêëíìîïóòôúùûçñÄÖÜÀÂÉÈÊËÎ
 
 
 def plain_text(text: Column) -> Column:
-    """A text with single blanks and without marks on its letters."""
-    return F.translate(F.regexp_replace(text, r"\s+", " "), MARKED, BARE)
+    """A text with single blanks, without marks on its letters, other signs but § read as blanks."""
+    bare = F.regexp_replace(F.translate(text, MARKED, BARE), "[\u0300-\u036f]", "")
+    return F.regexp_replace(F.regexp_replace(bare, "[^ -~§]", " "), " +", " ")
 
 
 def _hits(low: Column, patterns: list[str]) -> Column:

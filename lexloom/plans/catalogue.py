@@ -797,7 +797,7 @@ def _question_sql() -> str:
     found = ", ".join(f"len(regexp_extract_all(t, {_quoted('(?i)' + p)}, 1)) as n_{n}" for n, p in Q.ENTITIES.items())
     ambiguous = " + ".join(f"{_told('t', '(?i)' + p)} * 1.5::double" for p in Q.AMBIGUITY)
     pick = lambda table: f"case intent {' '.join(f"when '{k}' then '{v}'" for k, v in table.items())} end"
-    return f"""with q0 as (select doc_id, translate(regexp_replace(text, '\\s+', ' ', 'g'), '{Q.MARKED}', '{Q.BARE}') as t from documents where text is not null), q as (select *, lower(t) as low from q0),
+    return f"""with q0 as (select doc_id, regexp_replace(regexp_replace(regexp_replace(translate(text, '{Q.MARKED}', '{Q.BARE}'), '[\u0300-\u036f]', '', 'g'), '[^ -~§]', ' ', 'g'), ' +', ' ', 'g') as t from documents where text is not null), q as (select *, lower(t) as low from q0),
   a as (select *, {hits}, {found}, len(string_split(trim(t), ' ')) as n_words, least(1.0::double, ({ambiguous} + {_told('t', '(?i)' + Q.VAGUE)} * 1.0::double + {_told('t', '(?i)' + Q.PRONOUNS)} * 0.5::double + contains(low, 'maybe')::int * 2.0::double) / {len(Q.AMBIGUITY) * 1.5 + 3.5}::double) as ambiguity from q),
   b as (select *, {' + '.join(f'(h_{n} > 0)::int' for n in names)} as kinds, {name} as best, {' + '.join(f'n_{n}' for n in Q.ENTITIES)} as n_entities from a),
   c as (select *, case when kinds = 0 then 'exploratory' else best end as intent, case best {' '.join(f"when '{n}' then h_{n}" for n in names)} end as hits from b),
